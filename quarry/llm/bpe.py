@@ -21,6 +21,7 @@ import json
 import uuid
 from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -33,9 +34,10 @@ from quarry.session import ship
 
 LONG = 64
 #: The sample that picks common words: rows read at most, and words kept at most.
-SAMPLE_ROWS, COMMON = 12_000, 200_000
-BUCKETS, BITS = 1 << 16, 20
-SHIFT, NONE, KEY = 1 << BITS, 2**31 - 1, 1 << 50
+SAMPLE_ROWS, COMMON = 40_000, 500_000
+#: Buckets of the rank map, and bits of an id, a rank and a place in a word.
+BUCKETS, BITS, RANK, PLACE = 1 << 16, 20, 18, 8
+SHIFT, NONE = 1 << BITS, 2**31 - 1
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -68,15 +70,14 @@ def merge_word(word: bytes, ranks: dict[bytes, int]) -> list[int]:
 
 
 def rank_literal(ranks: dict[bytes, int]) -> Column:
-    """The rank map as one foldable literal: buckets with a key and its rank by turns. A key is KEY + left id * SHIFT
-    + right id (above all ranks), for every way to split a piece into two pieces; its rank is the piece's, which is
-    also the piece's id."""
+    """The rank map as one foldable literal: buckets of (left id * SHIFT + right id) << RANK | rank, for every way to
+    split a piece into two pieces; the rank is the piece's, which is also the piece's id."""
     buckets: list[list[int]] = [[] for _ in range(BUCKETS)]
     for piece, rank in ranks.items():
         for k in range(1, len(piece)):
             left, right = ranks.get(piece[:k]), ranks.get(piece[k:])
             if left is not None and right is not None:
-                buckets[(left * 7919 + right) % BUCKETS] += [KEY + left * SHIFT + right, rank]
+                buckets[(left * 7919 + right) % BUCKETS].append((left * SHIFT + right) << RANK | rank)
     table = {"t": buckets, "b": [ranks[bytes([i])] for i in range(256)]}
     return F.from_json(F.lit(json.dumps(table, separators=(",", ":"))), "t array<array<bigint>>, b array<bigint>")
 
@@ -85,33 +86,36 @@ def folded(word: Column, table: Column) -> Column:
     """Ids of a word (array of byte values) by folding merges over it.
 
     The state is an array with rank * SHIFT + id of each piece, the rank being that of its union with the next piece
-    (NONE without one). A step merges the first piece of least rank; the union's id is the rank.
+    (NONE without one), between two ends that unite with nothing. A step merges the first piece of least rank; the
+    union's id is the rank.
     """
-
-    def joined(left: Column, right: Column) -> Column:
-        own = F.get(table["t"], (left * 7919 + right).bitwiseAND(F.lit(BUCKETS - 1)).cast("int"))
-        place = F.array_position(own, left * SHIFT + right + KEY).cast("int")
-        return F.when(place > 0, F.get(own, place)).otherwise(F.lit(NONE))
+    end = F.lit(NONE * SHIFT + SHIFT - 1)
 
     def only(x: Column) -> Column:
         return x.bitwiseAND(F.lit(SHIFT - 1))
 
-    def step(s: Column, _: Column) -> Column:
-        low = F.array_min(s)
+    def ranked(p: Column) -> Column:
+        own = F.get(table["t"], (p["a"] * 7919 + p["b"]).bitwiseAND(F.lit(BUCKETS - 1)).cast("int"))
+        key = p["a"] * SHIFT + p["b"]
+        # array_position would do, but it leaves its loop by an exception, which costs more than all the rest.
+        hit = F.get(F.filter(own, lambda e: F.shiftright(e, RANK) == key), F.lit(0))
+        return F.coalesce(hit.bitwiseAND(F.lit((1 << RANK) - 1)), F.lit(NONE)) * SHIFT + p["a"]
 
-        def merged(at: Column) -> Column:
-            i, new = at["i"], at["u"]  # i: 1-based place of the left piece
-            left = F.when(i > 1, F.transform(F.array(only(F.get(s, i - 2))), lambda x: joined(x, new) * SHIFT + x)).otherwise(empty)
-            after = F.when(i + 1 < F.size(s), joined(new, only(F.get(s, i + 1)))).otherwise(F.lit(NONE))
-            return F.concat(F.slice(s, 1, F.greatest(i - 2, F.lit(0))), left, F.array(after * SHIFT + new), F.slice(s, i + 2, F.size(s)))
+    def pair(a: Column, b: Column) -> Column:
+        return F.struct(a.alias("a"), b.alias("b"))
 
-        here = F.transform(F.array(low), lambda m: F.struct(F.array_position(s, m).cast("int").alias("i"), F.shiftright(m, BITS).alias("u")))
-        return F.when(low < NONE * SHIFT, F.transform(here, merged)[0]).otherwise(s)
+    def step(s: Column, _: Column) -> Column:
+        def merged(low: Column) -> Column:
+            new, i = F.shiftright(low, PLACE), low.bitwiseAND(F.lit((1 << PLACE) - 1)).cast("int")
+            both = F.array(pair(only(F.get(s, i - 1)), new), pair(new, only(F.get(s, i + 2))))
+            return F.concat(F.slice(s, 1, i - 1), F.transform(both, ranked), F.slice(s, i + 3, F.size(s)))
+
+        least = F.array_min(F.transform(s, lambda e, i: F.shiftright(e, BITS) * (1 << PLACE) + i))
+        return F.transform(F.array(least), lambda low: F.when(low < NONE << PLACE, merged(low)).otherwise(s))[0]
 
-    empty = F.array().cast("array<bigint>")
     pieces = F.transform(word, lambda b: F.get(table["b"], b.cast("int")))
-    start = F.transform(F.array(pieces), lambda c: F.transform(c, lambda x, i: F.when(i + 1 < F.size(c), joined(x, F.get(c, i + 1))).otherwise(F.lit(NONE)) * SHIFT + x))[0]
-    return F.aggregate(F.slice(word, 2, F.size(word)), start, step, lambda s: F.transform(s, lambda x: only(x).cast("int")))
+    start = F.transform(F.array(pieces), lambda c: F.concat(F.array(end), F.transform(c, lambda x, i: ranked(pair(x, F.coalesce(F.get(c, i + 1), F.lit(SHIFT - 1))))), F.array(end)))[0]
+    return F.aggregate(F.slice(word, 2, F.size(word)), start, step, lambda s: F.transform(F.slice(s, 2, F.size(s) - 2), lambda x: only(x).cast("int")))
 
 
 def fold_all(words: Column, literal: Column) -> Column:
@@ -171,7 +175,7 @@ def common_words(spark: SparkSession, docs: DataFrame, pattern: str, literal: Co
         for b in batches:
             for t in b.column(0).to_pylist():
                 seen.update(find(t or ""))
-        words = [w for w in (x.encode() for x in seen) if len(w) <= LONG]
+        words = [w for w in (x.encode() for x in seen) if len(w) <= LONG and 0 not in w]
         for i in range(0, len(words), 20_000):
             own = words[i : i + 20_000]
             yield pa.record_batch({"word": pa.array(own, pa.binary()), "n": pa.array([seen[w.decode()] for w in own], pa.int64())})
@@ -191,26 +195,29 @@ def common_words(spark: SparkSession, docs: DataFrame, pattern: str, literal: Co
 BLOCK = "docs array<bigint>, counts array<int>, codes array<int>, words array<array<smallint>>, far array<binary>"
 ENCODED = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, ids array<int>"
 #: What a worker keeps from task to task.
-_KEPT: dict[str, tuple] = {}
+_KEPT: dict[tuple[str, str], object] = {}
 
 
-def encode(spark: SparkSession, docs: DataFrame, path: str, pattern: str, with_ids: bool = True, block: int = 16 << 20) -> DataFrame:
+def encode(spark: SparkSession, docs: DataFrame, path: str, pattern: str, with_ids: bool = True, block: int = 8 << 20) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256[, ids]) of each text; the hashes are of the ids as little-endian
     unsigned 32-bit integers and of the bytes they decode to."""
     ship(spark)
     ranks = load_ranks(path)
     literal = rank_literal(ranks)
-    shared = spark.sparkContext.broadcast((uuid.uuid4().hex, *common_words(spark, docs, pattern, literal), ranks))
-
-    def kept() -> tuple:
-        key, words, ids, table = shared.value
-        if key not in _KEPT:
-            _KEPT.clear()
-            _KEPT[key] = {w.decode(): i for i, w in enumerate(words)}, ids, table, Decoder(table)
-        return _KEPT[key]
+    words, common = common_words(spark, docs, pattern, literal)
+    run = uuid.uuid4().hex
+    named, coded = spark.sparkContext.broadcast(b"\0".join(words)), spark.sparkContext.broadcast((common, ranks))
+
+    def kept(what: str, make):
+        """What this worker made once for this run."""
+        if (run, what) not in _KEPT:
+            for old in [k for k in _KEPT if k[0] != run]:
+                del _KEPT[old]
+            _KEPT[run, what] = make()
+        return _KEPT[run, what]
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = kept()[0]
+        known = kept("words", lambda: {w: i for i, w in enumerate(named.value.decode().split("\0"))} if named.value else {})
         find = regex.compile(pattern).findall
         for b in batches:
             for part in slices([b], "text", block):
@@ -219,11 +226,10 @@ def encode(spark: SparkSession, docs: DataFrame, path: str, pattern: str, with_i
                 for t in part.column("text").to_pylist():
                     words = find(t or "")
                     counts.append(len(words))
-                    mine = [known.get(w, -1) for w in words]
-                    for i, c in enumerate(mine):
-                        if c < 0:
-                            mine[i] = -1 - own.setdefault(words[i], len(own))
-                    codes.append(np.array(mine, np.int32))
+                    mine = np.fromiter(map(known.get, words, repeat(-1)), np.int32, len(words))
+                    for i in np.flatnonzero(mine < 0).tolist():
+                        mine[i] = -1 - own.setdefault(words[i], len(own))
+                    codes.append(mine)
                 rare = [w.encode() for w in own]
                 flat = np.concatenate(codes) if codes else np.empty(0, np.int32)
                 near = as_bytes([w if len(w) <= LONG else b"" for w in rare])
@@ -231,7 +237,7 @@ def encode(spark: SparkSession, docs: DataFrame, path: str, pattern: str, with_i
                 yield pa.record_batch([one(part.column("doc_id")), one(pa.array(counts, pa.int32())), one(pa.array(flat)), one(near), one(pa.array([w for w in rare if len(w) > LONG], pa.binary()))], names=["docs", "counts", "codes", "words", "far"])
 
     def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _, ids, table, decoder = kept()
+        (ids, table), decoder = coded.value, kept("decoder", lambda: Decoder(coded.value[1]))
         for b in batches:
             for row in range(b.num_rows):
                 get = lambda name, row=row, b=b: b.column(name)[row].values
