@@ -106,14 +106,15 @@ def deduplicated(pages: DataFrame, least: int = LEAST) -> DataFrame:
     """pages' rows as (page_id, url, html, refers_to, revisit). Digests are compared in a slim table; the pages
     themselves move only by their id, so that a payload with very many copies lands in no one task."""
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
-    rows = rows.withColumn("sha", F.sha1(F.encode("html", "UTF-8")))
-    slim = rows.where(F.octet_length("html") >= least).select("page_id", "sha")
-    groups = slim.groupBy("sha").agg(F.max("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    copies = slim.distinct().join(groups, "sha").withColumnsRenamed({"page_id": "p", "sha": "s"})
-    made = rows.join(copies, F.col("page_id").eqNullSafe(F.col("p")) & (F.col("sha") == F.col("s")), "left")
-    nth = F.row_number().over(W.partitionBy("page_id", "sha").orderBy("url"))
-    revisit = F.col("s").isNotNull() & ~(F.col("page_id").eqNullSafe(F.col("first")) & (F.col("nth") == 1))
-    return made.withColumn("nth", nth).select("page_id", "url", "html", F.when(revisit, F.col("first")).alias("refers_to"), revisit.alias("revisit"))
+    # k is page_id with a value for null, so that the join and the window deal the rows by the same key, once.
+    rows = rows.withColumn("sha", F.sha1(F.encode("html", "UTF-8"))).withColumn("k", F.coalesce("page_id", F.lit(-(2**63))))
+    slim = rows.where(F.octet_length("html") >= least).select("k", "sha")
+    groups = slim.groupBy("sha").agg(F.max("k").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    made = rows.join(slim.distinct().join(groups, "sha"), ["k", "sha"], "left")
+    nth = F.row_number().over(W.partitionBy("k", "sha").orderBy("url"))
+    revisit = F.col("first").isNotNull() & ~((F.col("k") == F.col("first")) & (F.col("nth") == 1))
+    first = F.when(revisit & (F.col("first") > F.lit(-(2**63))), F.col("first"))
+    return made.withColumn("nth", nth).select("page_id", "url", "html", first.alias("refers_to"), revisit.alias("revisit"))
 
 
 def write(spark: SparkSession, rows: DataFrame, folder: str) -> DataFrame:
