@@ -38,6 +38,8 @@ MAGIC = b"QSIMPLE8"
 # Fixed values of the code: ids and bits by selector; 0 is the escape.
 COUNTS = (1, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1)
 BITS = (64, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60)
+_LIMITS = np.array([1 << b for b in BITS[1:]], np.uint64)
+_WIDTH = np.searchsorted(_LIMITS, np.arange(1 << 16, dtype=np.uint64), "right").astype(np.uint8)
 
 
 def pack_words(ids: np.ndarray) -> np.ndarray:
@@ -46,20 +48,20 @@ def pack_words(ids: np.ndarray) -> np.ndarray:
     n = len(ids)
     if not n:
         return np.empty(0, np.uint64)
-    width = np.zeros(n, np.int64)
-    for b in BITS[1:]:
-        width += ids >= np.uint64(1) << np.uint64(b)
-    # width: how many of the selectors' sizes an id exceeds; 14 means escape
+    # width: how many of the selectors' sizes an id exceeds; 14 means escape. most[k]: the largest of 2**k from each place on.
+    width = np.zeros(n + 64, np.uint8)
+    width[n:] = 255
+    small = int(ids.max()) < 1 << 16
+    width[:n] = _WIDTH[ids.astype(np.intp)] if small else np.searchsorted(_LIMITS, ids, "right")
+    most = [width]
+    for k in range(5):
+        most.append(np.maximum(most[-1][: len(most[-1]) - (1 << k)], most[-1][1 << k :]))
     choice = np.zeros(n, np.int8)
-    left = np.ones(n, bool)
-    for s in range(1, 15):
-        # the ids that don't fit selector s, counted up to each place
-        bad = np.concatenate([[0], np.cumsum(width > s - 1)])
-        stop = np.arange(n) + COUNTS[s]
-        fits = left & (stop <= n)
-        fits[fits] = bad[stop[fits]] == bad[np.flatnonzero(fits)]
-        choice[fits] = s
-        left &= ~fits
+    for s in range(14, 0, -1):  # fewer bits, so more ids, win
+        c = COUNTS[s]
+        k = c.bit_length() - 1
+        full = np.maximum(most[k][:n], most[k][c - (1 << k) : c - (1 << k) + n])
+        choice[full < s] = s
     step = np.array(COUNTS)[choice].tolist()
     at, starts = 0, []
     push = starts.append

@@ -2,7 +2,8 @@
 
 A text is normalized and split by the tokenizer's own pattern; each piece that the worker does not know yet is
 tokenized by the library's model. That skips the library's offsets and masks, which cost more than the ids. Texts
-of characters below FOLD are lower-cased in Python, others by the library's normalizer. A tokenizer of another kind
+of characters below FOLD are split by Python's re and lower-cased in Python (they are all NFC), others are split by
+the regex library and normalized by the tokenizer. A tokenizer of another kind
 than byte-level BPE with one splitting pattern encodes whole texts as the library does.
 """
 
@@ -10,6 +11,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
@@ -18,11 +20,28 @@ import regex  # noqa: E402
 
 #: Pieces kept by a worker, and the longest that is kept.
 KEEP, LONGEST = 800_000, 64
-FOLD = "ɐ"
+FOLD = 0x250
 #: The splitting pattern of byte-level pre-tokenizers that name none.
 BYTE_LEVEL = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
+def _narrow(pattern: str) -> str:
+    """The pattern with its Unicode classes written out for characters below FOLD."""
+    chars = [chr(i) for i in range(FOLD)]
+    classes = {k: "".join(re.escape(c) for c in chars if regex.match(k, c)) for k in (r"\p{L}", r"\p{N}", r"\s", r"\S")}
+    out, inside, i = [], False, 0
+    while i < len(pattern):
+        name = next((k for k in classes if pattern.startswith(k, i)), None)
+        if name:
+            out.append(classes[name] if inside else f"[{classes[name]}]")
+            i += len(name)
+        else:
+            inside = pattern[i] == "[" or inside and pattern[i] != "]"
+            out.append(pattern[i])
+            i += 1
+    return "".join(out)
+
+
 def _bytes_as_text() -> dict[int, str]:
     """Byte-level vocabularies write a byte as its Latin-1 character if that is visible, else as the next one from U+0100."""
     seen = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -62,7 +81,7 @@ def _encoder(path: str):
     if kind is None:
         return lambda texts: [np.array(e.ids, "<u4").tobytes() for e in t.encode_batch(texts, add_special_tokens=False)]
     pattern, fold = kind
-    find, tokenize = regex.compile(pattern).findall, t.model.tokenize
+    wide, near, tokenize = regex.compile(pattern).findall, re.compile(_narrow(pattern)).findall, t.model.tokenize
     table, known = _bytes_as_text(), {}
 
     def ids_of(piece: str) -> bytes:
@@ -71,9 +90,10 @@ def _encoder(path: str):
     def run(texts: list[str]) -> list[bytes]:
         out = []
         for text in texts:
-            if fold:
-                text = text.lower() if text.isascii() or max(text) < FOLD else t.normalizer.normalize_str(text)
-            pieces = find(text)
+            if text.isascii() or int(np.frombuffer(text.encode("utf-16-le", "surrogatepass"), "<u2").max()) < FOLD:
+                pieces = near(text.lower() if fold else text)
+            else:
+                pieces = wide(t.normalizer.normalize_str(text) if fold else text)
             try:
                 out.append(b"".join([known[p] for p in pieces]))
             except KeyError:
