@@ -87,6 +87,8 @@ def pack_words(ids: np.ndarray) -> np.ndarray:
 def unpack_words(words: np.ndarray) -> np.ndarray:
     """The ids of pack_words' result."""
     words = np.asarray(words, np.uint64)
+    if not len(words):
+        return np.empty(0, np.uint64)
     selector = (words >> np.uint64(60)).astype(np.int64)
     escape = np.zeros(len(words), bool)
     if (selector == 0).any():  # a raw word may look like an escape itself: take them in turn
