@@ -1,0 +1,75 @@
+"""Columns over paths: language, role, test files, globs, identities."""
+
+from __future__ import annotations
+
+import re
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+# Languages by extension.
+LANGUAGES = {
+    "py": "python", "pyi": "python", "js": "javascript", "jsx": "javascript", "mjs": "javascript", "cjs": "javascript",
+    "ts": "typescript", "tsx": "typescript", "go": "go", "java": "java", "swift": "swift", "rs": "rust", "sh": "shell",
+}
+# Roles by a part of the lower-cased path, the first that holds.
+ROLES = [("fixture", ["fixture", "testdata", "golden"]), ("test", ["/tests/", "test_", "_test.", ".test.", ".spec."]), ("generated", ["generated", "_pb2.", ".gen."])]
+EXCLUDED = [".git", ".hg", ".svn", "__pycache__", "node_modules", ".venv", "venv", "env", "dist", "build", ".tox", ".mypy_cache", ".pytest_cache", ".ruff_cache", ".cortex", "site-packages", ".idea", ".vscode", "target", "vendor", "coverage"]
+
+
+def basename(path: Column) -> Column:
+    return F.element_at(F.split(path, "/"), -1)
+
+
+def stem(path: Column) -> Column:
+    return F.regexp_replace(basename(path), r"\.[^.]*$", "")
+
+
+def extension(path: Column) -> Column:
+    return F.regexp_extract(basename(path), r"\.([^.]+)$", 1)
+
+
+def language(path: Column) -> Column:
+    pairs = F.create_map(*[F.lit(x) for k, v in LANGUAGES.items() for x in (k, v)])
+    return F.try_element_at(pairs, extension(path))
+
+
+def role(path: Column) -> Column:
+    low = F.lower(path)
+    out = F.when(F.lit(False), "")
+    for name, parts in ROLES:
+        hit = F.lit(False)
+        for p in parts:
+            hit = hit | low.contains(p)
+        out = out.when(hit, name)
+    return out.otherwise("production")
+
+
+def is_test(path: Column) -> Column:
+    b = basename(path)
+    return b.startswith("test_") | b.startswith("conftest") | b.rlike(r"_test\.[a-z]+$|\.(test|spec)\.[a-z]+$")
+
+
+def wanted(path: Column) -> Column:
+    """No excluded folder on the way, and a known extension."""
+    return ~F.arrays_overlap(F.split(path, "/"), F.array(*[F.lit(x) for x in EXCLUDED])) & language(path).isNotNull()
+
+
+def glob_regex(glob: str) -> str:
+    """A glob as a regular expression: * also crosses /, ** is zero or more segments, ? one character."""
+    out, i = [], 0
+    while i < len(glob):
+        if glob.startswith("**/", i):
+            out.append("(?:.*/)?")
+            i += 3
+        elif glob[i] == "*":
+            out.append(".*")
+            i += 2 if glob.startswith("**", i) else 1
+        else:
+            out.append("." if glob[i] == "?" else re.escape(glob[i]))
+            i += 1
+    return "^" + "".join(out) + "$"
+
+
+def short_hash(n: int, *parts: Column) -> Column:
+    return F.substring(F.sha2(F.concat_ws("|", *parts), 256), 1, n)
