@@ -16,12 +16,26 @@ def split_lines(text: Column) -> Column:
     return F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
 
 
+def _empty_files(spark: SparkSession, folder: str) -> list[str]:
+    """Empty files, which Spark's readers leave out, by a listing on the driver."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    it, out = path.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(path, True), []
+    while it.hasNext():
+        f = it.next()
+        if f.getLen() == 0:
+            out.append(f.getPath().toUri().getPath())
+    return out
+
+
 def read_tree(spark: SparkSession, folder: str, limit: int = 5 << 20) -> DataFrame:
     """Source files under a folder, with raw content; larger ones than `limit` keep a null text."""
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
-    root = F.regexp_replace(F.lit(folder.rstrip("/")), "^file:/*", "/")
-    path = F.expr("substring(p, length(root) + 2)")
-    rows = raw.withColumn("root", root).withColumn("p", F.regexp_replace("path", "^file:/*", "/")).withColumn("path", path).where(paths.wanted(F.col("path")))
+    empty = spark.createDataFrame([(p,) for p in _empty_files(spark, folder)], "path string")
+    plain = lambda c: F.regexp_replace(c, "^file:/*", "/")
+    found = raw.select(plain("path").alias("p"), "length", "content").unionByName(
+        empty.select(plain("path").alias("p"), F.lit(0).cast("long").alias("length"), F.lit(b"").alias("content"))
+    )
+    rows = found.withColumn("root", plain(F.lit(folder.rstrip("/")))).withColumn("path", F.expr("substring(p, length(root) + 2)")).where(paths.wanted(F.col("path")))
     text = F.regexp_replace(F.decode("content", "UTF-8"), "^﻿", "")
     return rows.select("path", F.lit(True).alias("exists"), F.col("length").alias("size"), F.when(F.col("length") <= limit, text).alias("text"), "content").withColumn(
         "line_count", F.coalesce(F.size(split_lines(F.col("text"))), F.lit(0))
