@@ -131,6 +131,15 @@ def check_lines(lines: DataFrame, checks: list[str] | None = None, any_language:
     return rows.select("f.check_id", "path", "line_no", "f.detail", "f.severity", "f.impact")
 
 
+def candidates(files: DataFrame, checks: list[str]) -> DataFrame:
+    """Files in which some rule of the checks may match a line: a look at whole texts before they are split. Rules that
+    need a line's end are left to the lines."""
+    rules = [r.pattern for r in RULES if r.check in checks]
+    if any(p.endswith("$") for p in rules):
+        return files
+    return files.where(F.col("text").rlike("|".join(f"(?:{p})" for p in rules)))
+
+
 def too_many_todos(hits: DataFrame, most: int = 5) -> DataFrame:
     """Files with more than `most` debt markers."""
     return hits.where("check_id = 'todo_scan'").groupBy("path").agg(F.count("*").alias("n")).where(F.col("n") > most)

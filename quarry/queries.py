@@ -94,7 +94,8 @@ def _q(s: str) -> str:
 )
 def secrets_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hard-coded secrets, the first rule for each line."""
-    return line_checks.check_lines(_lines(spark, sf_dir), ["secrets_scan"])
+    files = line_checks.candidates(tables.documents_as_files(spark, sf_dir), ["secrets_scan"])
+    return line_checks.check_lines(tables.lines(files), ["secrets_scan"])
 
 
 @query(
@@ -125,12 +126,12 @@ def file_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "pages").select(F.col("url").alias("path"), paths.role(F.col("url")).alias("role"))
 
 
-@query("SELECT doc_id, len(regexp_extract_all(text, '[\\x{0100}-\\x{FFFF}]'))::INT AS n_unsafe FROM documents WHERE regexp_matches(text, '[\\x{0100}-\\x{FFFF}]')")
+@query("SELECT doc_id, len(regexp_extract_all(text, '[\\x{0080}-\\x{FFFF}]'))::INT AS n_unsafe FROM documents WHERE regexp_matches(text, '[\\x{0080}-\\x{FFFF}]')")
 def unsafe_chars(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with characters that narrow consoles can't print."""
     docs = _table(spark, sf_dir, "documents")
-    n = F.regexp_count("text", F.lit("[\\u0100-\\uFFFF]"))
-    return docs.where(F.col("text").rlike("[\\u0100-\\uFFFF]")).select("doc_id", n.alias("n_unsafe"))
+    n = F.regexp_count("text", F.lit("[\\u0080-\\uFFFF]"))
+    return docs.where(F.col("text").rlike("[\\u0080-\\uFFFF]")).select("doc_id", n.alias("n_unsafe"))
 
 
 _TOK = "[A-Za-z_][A-Za-z0-9_]*"
@@ -296,13 +297,13 @@ def env_undocumented(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """WITH n AS (SELECT DISTINCT unnest(string_split(lower(p_name), ' ')) AS name FROM part),
-c AS (SELECT name FROM n WHERE length(name) >= 5) SELECT a.name AS name, b.name AS other, levenshtein(a.name, b.name)::INT AS distance FROM c a JOIN c b ON a.name < b.name AND abs(length(a.name) - length(b.name)) <= 2
+    """WITH c AS (SELECT DISTINCT regexp_extract(url, '([a-z-]+)[.]example', 1) AS name FROM pages WHERE length(regexp_extract(url, '([a-z-]+)[.]example', 1)) >= 5)
+SELECT a.name AS name, b.name AS other, levenshtein(a.name, b.name)::INT AS distance FROM c a JOIN c b ON a.name < b.name AND abs(length(a.name) - length(b.name)) <= 2
 WHERE levenshtein(a.name, b.name) <= 0.3 * greatest(length(a.name), length(b.name)) AND a.name || 's' <> b.name AND b.name || 's' <> a.name"""
 )
 def partial_rename(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Names that differ by less than a third of their letters."""
-    names = _table(spark, sf_dir, "part").select(F.explode(F.split(F.lower("p_name"), " ")).alias("name")).distinct()
+    names = _table(spark, sf_dir, "pages").select(F.regexp_extract("url", "([a-z-]+)[.]example", 1).alias("name")).distinct()
     return structure.near_names(names, 5)
 
 
