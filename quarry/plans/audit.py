@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.operators import blocks, fact_checks, line_checks, report
+from quarry.operators import blocks, corpus_checks, fact_checks, line_checks, report, text_checks
 from quarry.plans import maps
 from quarry.session import materialize
-from quarry.sources import python_facts, tables
+from quarry.sources import other_languages, python_facts, tables
 
 
 def run_audit(spark: SparkSession, files: DataFrame, severity: str = "LOW", most_files: int | None = None, allowlist: DataFrame | None = None, now: str = "", checks: list[str] | None = None) -> DataFrame:
@@ -17,7 +17,9 @@ def run_audit(spark: SparkSession, files: DataFrame, severity: str = "LOW", most
         raise ValueError("too many files: " + ", ".join(f"{r['dir']} {r['n']}" for r in top))
     lines = tables.lines(files)
     facts = materialize(spark, python_facts.facts(files), "facts")
-    found = line_checks.check_lines(lines).unionByName(fact_checks.all_checks(facts, lines))
+    found = line_checks.check_lines(lines).unionByName(fact_checks.all_checks(facts, lines)).unionByName(text_checks.all_checks(lines)).unionByName(other_languages.swift_checks(lines))
+    for check in (corpus_checks.proliferation(files), corpus_checks.forked(files), corpus_checks.copies(files), corpus_checks.unused_shims(facts), corpus_checks.http_methods(lines), corpus_checks.bypassed(files, maps.resolve_imports(facts, files))):
+        found = found.unionByName(check)
     block = blocks.across_files(lines).selectExpr("'duplication.text_block' AS check_id", "first_path AS path", "1 AS line_no", "concat(n_files, ' files') AS detail", "'MEDIUM' AS severity", "'REVISE' AS impact")
     found = report.identified(found.unionByName(block)).dropDuplicates(["check_id", "path", "line_no", "detail"])
     if checks is not None:

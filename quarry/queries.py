@@ -101,7 +101,7 @@ def secrets_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "WITH " + _SQL_LINES + ", h AS (SELECT path, CASE " + " ".join(f"WHEN regexp_matches(line, {_q(r.pattern)}) THEN {_q(r.detail)}" for r in _SECRETS) + " END AS detail FROM lines "
     "WHERE NOT regexp_matches(ltrim(line), '^(#|//|\\*)') AND NOT regexp_matches(lower(line), " + _q(line_checks.PLACEHOLDERS["secrets_scan"]) + ")) "
-    "SELECT severity, check_id, count(*)::BIGINT AS n FROM (SELECT 'CRITICAL' AS severity, 'secrets_scan' AS check_id FROM h WHERE detail IS NOT NULL) GROUP BY ROLLUP (severity, check_id)"
+    "SELECT severity, check_id, count(*)::BIGINT AS n FROM (SELECT 'CRITICAL' AS severity, 'secrets_scan' AS check_id FROM h WHERE detail IS NOT NULL) GROUP BY ROLLUP (severity, check_id) HAVING count(*) > 0"
 )
 def severity_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Findings by severity and check, with subtotals."""
