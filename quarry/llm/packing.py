@@ -18,7 +18,6 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -97,9 +96,8 @@ def pack(spark: SparkSession, made: DataFrame, tokens: int = TOKENS, **limits) -
     ship(spark)
     made = materialize(spark, made, "pieces")
     histogram = {r["length"]: r["n"] for r in made.groupBy("length").agg(F.count("*").alias("n")).collect()}
-    runs = sorted(plan(histogram, tokens, **limits))
-    key = np.array([r[0] << 44 | r[1] for r in runs], np.int64)
-    first, base, offset = (np.array([r[i] for r in runs], np.int64) for i in (1, 3, 4))
+    # A few thousand runs at most, as they come from at most `tokens` lengths.
+    runs = spark.createDataFrame(plan(histogram, tokens, **limits), "length long, a long, z long, base long, offset long")
     # Ranks within a length: hashed parts of at most about 100,000 rows, and each part's first rank.
     parts = max(1, max(histogram.values(), default=0) // 100_000)
     dealt = made.withColumn("part", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(parts)).cast("int"))
@@ -108,11 +106,6 @@ def pack(spark: SparkSession, made: DataFrame, tokens: int = TOKENS, **limits) -
     own = F.row_number().over(W.partitionBy("length", "part").orderBy("doc_id", "piece", "ids_crc32")) - 1
     ranked = dealt.withColumn("own", own).join(ends, ["length", "part"])
 
-    @F.pandas_udf("sequence_id long, offset long")
-    def place(length: pd.Series, rank: pd.Series) -> pd.DataFrame:
-        r = rank.to_numpy(np.int64)
-        at = np.searchsorted(key, length.to_numpy(np.int64) << 44 | r, "right") - 1
-        return pd.DataFrame({"sequence_id": base[at] + r - first[at], "offset": offset[at]})
-
-    placed = ranked.withColumn("p", place(F.col("length"), (F.col("before") + F.col("own")).cast("long")))
-    return placed.select("doc_id", "piece", "start", "length", "ids_crc32", F.col("p.sequence_id").alias("sequence_id"), F.col("p.offset").alias("offset"))
+    rank = F.col("before") + F.col("own")
+    placed = ranked.withColumn("rank", rank).join(F.broadcast(runs), "length").where("rank >= a AND rank < z")
+    return placed.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("base") + F.col("rank") - F.col("a")).alias("sequence_id"), "offset")

@@ -76,8 +76,8 @@ def _encoder(path: str):
 
     t = Tokenizer.from_file(path)
     t.encode_special_tokens = True
-    with open(path, encoding="utf-8") as f:
-        kind = _kind(json.load(f))
+    state = lambda part: json.loads(part.__getstate__()) if part is not None else None
+    kind = _kind({"pre_tokenizer": state(t.pre_tokenizer), "normalizer": state(t.normalizer)})
     if kind is None:
         return lambda texts: [np.array(e.ids, "<u4").tobytes() for e in t.encode_batch(texts, add_special_tokens=False)]
     pattern, fold = kind
