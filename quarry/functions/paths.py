@@ -14,7 +14,7 @@ LANGUAGES = {
 }
 # Roles by a part of the lower-cased path, the first that holds.
 ROLES = [("fixture", ["fixture", "testdata", "golden"]), ("test", ["/tests/", "test_", "_test.", ".test.", ".spec."]), ("generated", ["generated", "_pb2.", ".gen."])]
-EXCLUDED = [".git", ".hg", ".svn", "__pycache__", "node_modules", ".venv", "venv", "env", "dist", "build", ".tox", ".mypy_cache", ".pytest_cache", ".ruff_cache", ".cortex", "site-packages", ".idea", ".vscode", "target", "vendor", "coverage"]
+EXCLUDED = [".git", ".hg", ".svn", "__pycache__", "node_modules", ".venv", "venv", "env", "dist", "build", ".tox", ".mypy_cache", ".pytest_cache", ".ruff_cache", "site-packages", ".idea", ".vscode", "target", "vendor", "coverage"]
 
 
 def basename(path: Column) -> Column:
