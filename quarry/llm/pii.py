@@ -5,13 +5,15 @@ document, different values get different ones, and a card number stays one with
 an address, a date a date:
 
   card    13 to 19 digits with a right Luhn digit, single or grouped by spaces or hyphens: all digits before it
-          are permuted, then the Luhn digit is computed anew; separators stay
+          are permuted, then the Luhn digit is computed anew; separators stay. A run of groups is searched from left to
+          right, at each group for a date, ssn or phone and else the longest card, so what stands next to one hides none
   phone   North American (area and exchange 200-999): the 6.4e9 numbers are permuted; international with "+":
           the digits after the first two
   ssn     three, two and four digits (no 000, 666, 9xx; no 00; no 0000): permuted among those
   ip      four numbers up to 255: permuted as 32 bits
   date    a true calendar date from 1900 to 2100: the days are permuted, the order of the parts and the separators stay
-  iban    with right check digits: the account's digits are permuted, check digits computed anew
+  iban    of the length of its country, with right check digits: the account's digits are permuted and its letters
+          shifted by a keyed hash of the digits, check digits computed anew
   email   name and domain are replaced by letters from a keyed hash under the reserved domain example.com
   secret  the value of password=, token=, api_key= and the like: every hex digit or letter from a keyed hash
 
@@ -32,13 +34,20 @@ FIRST_DAY, DAYS = "1900-01-01", (271, 270)
 _END = r"(?![\w])"
 SECRET = r"(?i:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key)\s{0,3}[=:]\s{0,3}[\"']?[A-Za-z0-9+/_.\-]{6,200}"
 EMAIL = r"(?<![\w.+%-])[A-Za-z0-9][\w.+%-]{0,63}@(?:[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?\.){1,8}[A-Za-z]{2,24}(?![\w-])"
-IBAN = r"(?<!\w)[A-Z]{2}[0-9]{2}(?: ?[0-9]{4}){2,7}(?: ?[0-9]{1,3})?" + _END
+#: Countries by the length of their IBAN.
+IBANS = {
+    15: "NO", 16: "BE", 18: "DK FI FO FK GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST",
+    26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+IBAN = r"(?<!\w)(?:" + "|".join(f"(?:{c.replace(' ', '|')})[0-9]{{2}}(?: ?[0-9A-Z]){{{n - 4}}}" for n, c in IBANS.items()) + ")" + _END
 IP = r"(?<![\w.])(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?!\w|\.[0-9])"
-DATE = r"(?<![\w./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{4}/[0-9]{2}/[0-9]{2}|[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}|[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4})(?![\w/-])"
+DATE = r"(?<![\w./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{4}/[0-9]{2}/[0-9]{2}|[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}|[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4})(?:(?![\w/-])|(?=T[0-9]{2}))"
 SSN = r"(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-])"
 PHONE = r"(?<![\w+])\+[0-9]{1,3}(?:[ .-]?\(?[0-9]{1,4}\)?){2,5}(?![\w])|(?<![\w.-])(?:1[ .-])?(?:\([2-9][0-9]{2}\) ?|[2-9][0-9]{2}[ .-])[2-9][0-9]{2}[ .-][0-9]{4}(?![\w-])"
 CARD = r"(?<![\w.-])[0-9](?:[ -]?[0-9]){12,18}(?![\w]|-[0-9])"
-KINDS = {"secret": SECRET, "email": EMAIL, "iban": IBAN, "ip": IP, "date": DATE, "ssn": SSN, "card": CARD, "phone": PHONE}
+#: All groups of digits up to the next other character; what is in it is found by _split.
+RUN = r"(?<![\w.-])[0-9](?:[ -]?[0-9]){12,}+\w*+"
+KINDS = {"secret": SECRET, "email": EMAIL, "iban": IBAN, "ip": IP, "date": DATE, "ssn": SSN, "run": RUN, "phone": PHONE}
 ANY = "|".join(f"(?:{p})" for p in KINDS.values())
 #: A cheap look before the full pattern.
 HINT = r"@|[0-9]|(?i:passw|passwd|pwd|secret|token|key)"
@@ -192,15 +201,27 @@ def _country(m: Column) -> Column:
     return F.concat((F.ascii(F.substring(m, 1, 1)) - 55).cast("string"), (F.ascii(F.substring(m, 2, 1)) - 55).cast("string"))
 
 
+def _numeric(s: Column) -> Column:
+    """Letters as two digits, A as 10."""
+    return F.array_join(F.transform(F.split(s, ""), lambda c: F.when(c.rlike("[A-Z]"), (F.ascii(c) - 55).cast("string")).otherwise(c)), "")
+
+
 def _iban_ok(m: Column) -> Column:
-    d = _digits(m)
-    return _mod97(F.concat(F.substring(d, F.lit(3), F.length(d)), _country(m), F.substring(d, 1, 2))) == 1
+    return _let(F.replace(m, F.lit(" "), F.lit("")), lambda s: _mod97(F.concat(_numeric(F.substring(s, F.lit(5), F.length(s))), _country(m), F.substring(s, 3, 2)))) == 1
 
 
 def _iban(m: Column, key: str) -> Column:
-    body = _let(_digits(m), lambda d: _permuted(F.substring(d, F.lit(3), F.length(d)), "iban", key))
-    full = _let(body, lambda p: F.concat(F.lpad((98 - _mod97(F.concat(p, _country(m), F.lit("00")))).cast("string"), 2, "0"), p))
-    return F.concat(F.substring(m, 1, 2), _fill(F.substring(m, F.lit(3), F.length(m)), full))
+    rest = F.substring(m, F.lit(5), F.length(m))
+
+    def shifted(d: Column) -> Column:
+        """The letters of the rest; the digits come back from the permuted ones, so the shifts can be undone."""
+        place = lambda i: F.length(F.replace(F.substring(rest, F.lit(1), i), F.lit(" "), F.lit(""))).cast("string")  # noqa: E731  spaces don't count
+        new = lambda c, i: F.chr(65 + (F.ascii(c) - 65 + _hash(key, F.lit("iban"), d, place(i)) % 26) % 26)
+        return F.array_join(F.transform(F.split(rest, ""), lambda c, i: F.when(c.rlike("[A-Z]"), new(c, i)).otherwise(c)), "")
+
+    body = _let(_digits(rest), lambda d: _fill(shifted(d), _permuted(d, "iban", key)))
+    check = lambda p: F.lpad((98 - _mod97(F.concat(_numeric(F.replace(p, F.lit(" "), F.lit(""))), _country(m), F.lit("00")))).cast("string"), 2, "0")
+    return _let(body, lambda p: F.concat(F.substring(m, 1, 2), check(p), p))
 
 
 def _email(m: Column, key: str) -> Column:
@@ -240,14 +261,48 @@ def pseudonym(m: Column, key: str = KEY) -> Column:
     return _let(kind_of(m), by)
 
 
+def _split(m: Column) -> Column:
+    """A match as pieces: each value of a run of digit groups, and what is between; other matches whole."""
+
+    def values(t: Column) -> Column:
+        n = F.size(t)
+
+        def ends(i: Column) -> Column:
+            """Where a value from piece i ends, the best first: date, ssn or phone, else the longest card; pieces of odd place separate."""
+
+            def ok(j: Column) -> Column:
+                free = F.coalesce(F.get(t, i - 1), F.lit("")).isin("", " ") | (i == 0)
+                free &= (j == n - 1) | (F.get(t, j + 1) != "-")
+                sub = F.array_join(F.slice(t, i + 1, j - i + 1), "")
+                known = lambda v: F.when(v.rlike(f"^(?:{SSN}|{DATE}|{PHONE})$"), kind_of(v)).when(v.rlike(f"^(?:{CARD})$") & luhn_ok(_digits(v)), F.lit("card"))
+                return F.when(free, _let(sub, known))
+
+            last = F.least(i + 36, n - 1)
+            return F.array_sort(F.filter(F.transform(F.sequence(i, last, F.lit(2)), lambda j: F.struct((ok(j) == "card").alias("card"), (-j).alias("j"))), lambda s: s["card"].isNotNull()))
+
+        def step(s: Column, i: Column) -> Column:
+            def by(e: Column) -> Column:
+                to = -e[0]["j"] + 1
+                got = F.array_compact(F.array(F.when(i > s["at"], F.array_join(F.slice(t, s["at"] + 1, i - s["at"]), "")), F.array_join(F.slice(t, i + 1, to - i), "")))
+                return F.when(F.size(e) > 0, F.struct(to.cast("int").alias("at"), F.concat(s["out"], got).alias("out"))).otherwise(s)
+
+            return F.when(i < s["at"], s).otherwise(_let(ends(i), by))
+
+        start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
+        rest = lambda s: F.when(s["at"] < n, F.concat(s["out"], F.array(F.array_join(F.slice(t, s["at"] + 1, n - s["at"]), "")))).otherwise(s["out"])
+        return F.aggregate(F.sequence(F.lit(0), n - 1, F.lit(2)), start, step, rest)
+
+    return F.when(m.rlike(f"^(?:{RUN})$") & ~m.rlike(f"^(?:{DATE}|{SSN})$"), _let(F.regexp_extract_all(m, F.lit("[ -]|[^ -]+"), F.lit(0)), values)).otherwise(F.array(m))
+
+
 def pseudonymized(df: DataFrame, text: str = "text", out: str = "text", found: str = "pii_kinds", key: str = KEY) -> DataFrame:
     """df with `out` (the text with pseudonyms) and `found` (the kind of each replaced value, in order)."""
     t = F.col(text)
     hit = F.regexp_count(t, F.lit(ANY)) > 0
-    new = F.transform(F.regexp_extract_all(t, F.lit(f"({ANY})"), F.lit(1)), lambda m: pseudonym(m, key))
+    new = F.transform(F.regexp_extract_all(t, F.lit(f"({ANY})"), F.lit(1)), lambda m: F.transform(_split(m), lambda v: pseudonym(v, key)))
     named = df.withColumn("__new", F.when(t.rlike(HINT) & hit, new))
     n = F.col("__new")
     # A value that isn't valid keeps its own text, so both lists stay in step.
-    joined = F.array_join(F.flatten(F.zip_with(F.split(t, ANY, -1), F.transform(n, lambda x: x["text"]), lambda a, b: F.array(a, F.coalesce(b, F.lit(""))))), "")
-    kinds = F.filter(F.transform(n, lambda x: x["kind"]), lambda k: k.isNotNull())
+    joined = F.array_join(F.flatten(F.zip_with(F.split(t, ANY, -1), F.transform(n, lambda x: F.array_join(x["text"], "")), lambda a, b: F.array(a, F.coalesce(b, F.lit(""))))), "")
+    kinds = F.filter(F.transform(F.flatten(n), lambda x: x["kind"]), lambda k: k.isNotNull())
     return named.withColumns({out: F.when(n.isNull(), t).otherwise(joined), found: F.coalesce(kinds, F.array().cast("array<string>"))}).drop("__new")

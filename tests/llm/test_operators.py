@@ -324,3 +324,24 @@ def test_token_files(spark, docs, none):
         at += len(ids) // 4
     assert Counter(tuple(r) for r in tokenbin.round_trip(spark, docs, path).collect()) == want
     assert tokenbin.round_trip(spark, none, path).count() == 0
+
+
+def test_pii_beside_other_characters(spark):
+    cards = ["4111 1111 1111 1111 12/27", "4111111111111111 123", "4111 1111 1111 1111 737.", "12 4111 1111 1111 1111", "3782 822463 10005 4111 1111 1111 1111", "555-234-5678 4111 1111 1111 1111", "4111 1111 1111 1111 12ab", "123-45-6789 4111-1111-1111-1111"]
+    ibans = ["GB82 WEST 1234 5698 7654 32", "FR14 2004 1010 0505 0001 3M02 606 PAID", "GB82WEST12345698765432", "AT61 1904 3002 3457 3201 EUR 500"]
+    rows = [*cards, *ibans, "at 2024-01-05T10:00:00Z", "GB82 WEST 1234 5698 7654 33", "1234 5678 9012 3456 789x", "7 " * 3000 + "4111 1111 1111 1111"]
+    got = {r.text: r for r in pii.pseudonymized(spark.createDataFrame([(t,) for t in rows], "text string"), out="new").collect()}
+    for t in cards:
+        new = got[t].new
+        assert "card" in got[t].pii_kinds and re.sub("[0-9]", "9", new) == re.sub("[0-9]", "9", t)
+        for value in ("4111 1111 1111 1111", "4111111111111111", "4111-1111-1111-1111", "3782 822463 10005", "555-234-5678", "123-45-6789"):
+            assert value not in new
+    for t in ibans:
+        new = got[t].new
+        end = re.search(" PAID| EUR 500|$", t).start()
+        a, b = t[:end].replace(" ", ""), new[:end].replace(" ", "")
+        assert got[t].pii_kinds == ["iban"] and new[end:] == t[end:] and b[4:] != a[4:] and b[:2] == a[:2]
+        assert int("".join(str(int(c, 36)) for c in b[4:] + b[:4])) % 97 == 1
+    assert got[ibans[0]].new.replace(" ", "") == got[ibans[2]].new.replace(" ", "")
+    assert got["at 2024-01-05T10:00:00Z"].pii_kinds == ["date"] and got["at 2024-01-05T10:00:00Z"].new.endswith("T10:00:00Z")
+    assert got[rows[-3]].new == rows[-3] and "4111 1111 1111 1111" not in got[rows[-1]].new
