@@ -32,7 +32,7 @@ FIRST_DAY, DAYS = "1900-01-01", (271, 270)
 
 # Patterns, Java's. The order is that of the alternatives: the first that matches at a place counts.
 _END = r"(?![\w])"
-SECRET = r"(?i:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key)\s{0,3}[=:]\s{0,3}[\"']?[A-Za-z0-9+/_.\-]{6,200}"
+SECRET = r"(?i:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key)\s{0,3}[=:]\s{0,3}[\"']?[A-Za-z0-9+/_.\-]{6,}+"
 EMAIL = r"(?<![\w.+%-])[A-Za-z0-9][\w.+%-]{0,63}@(?:[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?\.){1,8}[A-Za-z]{2,24}(?![\w-])"
 #: Countries by the length of their IBAN.
 IBANS = {
@@ -231,7 +231,13 @@ def _email(m: Column, key: str) -> Column:
 def _secret(m: Column, key: str) -> Column:
     name = F.regexp_extract(m, r"(?s)^(.*?[=:]\s*[\"']?)", 1)
     value = F.substring(m, F.length(name) + 1, F.length(m))
-    return F.concat(name, F.substring(F.repeat(F.sha2(F.concat_ws("|", F.lit(key), F.lit("secret"), value), 256), 4), F.lit(1), F.least(F.length(value), F.lit(256))))
+
+    def stream(h: Column) -> Column:
+        """As long as the value: its keyed hash, then hashes of that and the chunk's number."""
+        more = F.transform(F.sequence(F.lit(0), F.floor((F.length(value) - 1) / 64).cast("int")), lambda i: F.when(i == 0, h).otherwise(F.sha2(F.concat_ws("|", F.lit(key), h, i.cast("string")), 256)))
+        return F.substring(F.array_join(more, ""), F.lit(1), F.length(value))
+
+    return F.concat(name, _let(F.sha2(F.concat_ws("|", F.lit(key), F.lit("secret"), value), 256), stream))
 
 
 def kind_of(m: Column) -> Column:

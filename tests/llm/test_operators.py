@@ -345,3 +345,14 @@ def test_pii_beside_other_characters(spark):
     assert got[ibans[0]].new.replace(" ", "") == got[ibans[2]].new.replace(" ", "")
     assert got["at 2024-01-05T10:00:00Z"].pii_kinds == ["date"] and got["at 2024-01-05T10:00:00Z"].new.endswith("T10:00:00Z")
     assert got[rows[-3]].new == rows[-3] and "4111 1111 1111 1111" not in got[rows[-1]].new
+
+
+def test_long_secrets(spark):
+    r = random.Random(6)
+    one = "".join(r.choice("abcXYZ019_-") for _ in range(20_000))
+    rows = [f"token={v} end" for v in (one, one[:300], one[:300] + "q", one[:199])]
+    new = [x.new for x in pii.pseudonymized(spark.createDataFrame(list(enumerate(rows)), "i int, text string"), out="new").orderBy("i").collect()]
+    for a, b in zip(rows, new, strict=True):
+        assert len(a) == len(b) and b.startswith("token=") and b.endswith(" end")
+        assert not any(a[k : k + 12] in b for k in range(6, len(a) - 16, 5))
+    assert len({b[6:206] for b in new[:3]}) == 3 and new[0][6:70] != new[0][70:134]
