@@ -113,6 +113,12 @@ def test_components(spark):
     assert got == {"a": "a", "b": "a", "c": "a", "d": "d", "e": "d", "g": "g"}
 
 
+def test_components_of_long_cycles(spark):
+    ring = [(f"{i:03}", f"{(i + 1) % 300:03}") for i in range(300)]
+    got = {r.node: r.component for r in graph.components(spark, spark.createDataFrame(ring, "src string, dst string").coalesce(1)).collect()}
+    assert got == {f"{i:03}": "000" for i in range(300)}
+
+
 def test_report(spark):
     f = spark.createDataFrame([("a", "p", i, "d", s) for i, s in enumerate(["INFO", "LOW", "HIGH", "HIGH"])], "check_id string, path string, line_no int, detail string, severity string")
     assert report.floor(f, "MEDIUM").count() == 2 and report.capped(f, 2).count() == 2 and [r.line_no for r in report.top(f, 2).collect()] == [2, 3]
