@@ -54,13 +54,28 @@ _ATTR = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'
 _SPACE = re.compile(r"[ \t\n\r\f\v\xa0]+")
 
 
+#: Words that stand beside those of NAMES in a class or id.
+BESIDE = frozenset("area bar block body box buttons container content inner left links list main page post posts right section site slot top wrap wrapper".split())
+
+
+def _named(words: re.Pattern, names: list[str]) -> bool:
+    """A whole class or id is made of the words, at least one, and of BESIDE."""
+    for token in " ".join(names).lower().split():
+        parts = [x for x in re.split("[-_]+", token) if x]
+        hits = [bool(words.search(x)) for x in parts]
+        if words.search(token) and any(hits) and all(h or x in BESIDE for h, x in zip(hits, parts, strict=True)):
+            return True
+    return False
+
+
 class Node:
-    __slots__ = ("tag", "kids", "up", "drop", "chars", "tags", "link_chars", "link_tags", "density", "total")
+    __slots__ = ("tag", "kids", "up", "drop", "chars", "tags", "link_chars", "link_tags", "density", "total", "soft")
 
     def __init__(self, tag: str, up: Node | None, drop: bool):
         self.tag, self.up, self.drop, self.kids = tag, up, drop, []
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.total = 0.0
+        self.soft = False
 
 
 def _unwanted(tag: str, raw: str, up: Node) -> bool:
@@ -70,15 +85,42 @@ def _unwanted(tag: str, raw: str, up: Node) -> bool:
         return not _within(up, ("article", "main"))
     if not raw or tag in ("body", "html", "main"):
         return False
-    attrs = {k.lower(): (a or b or c) for k, a, b, c in _ATTR.findall(raw)}
-    if "hidden" in attrs or attrs.get("aria-hidden", "").lower() == "true" or attrs.get("role", "").lower() in ROLES:
-        return True
-    if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", attrs.get("style", ""), re.I):
+    if _hidden(raw):
         return True
+    attrs = {k.lower(): (a or b or c) for k, a, b, c in _ATTR.findall(raw)}
     names = [attrs.get("class", ""), attrs.get("id", "")]
     if tag == "article":
-        return any(map(OTHER.search, names))
-    return any(map(NAMES.search, names)) or any(map(HEADER.search, names)) and not _within(up, ("article", "main"))
+        return _named(OTHER, names)
+    return _named(NAMES, names) or any(map(HEADER.search, names)) and not _within(up, ("article", "main"))
+
+
+def _hidden(raw: str) -> bool:
+    attrs = {k.lower(): (a or b or c) for k, a, b, c in _ATTR.findall(raw)}
+    if "hidden" in attrs or attrs.get("aria-hidden", "").lower() == "true" or attrs.get("role", "").lower() in ROLES:
+        return True
+    return bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", attrs.get("style", ""), re.I))
+
+
+def _rescue(root: Node) -> None:
+    """Named nodes and forms stay where they hold most of the text outside links, and a main heading or article if there is any."""
+    nodes = [root]
+    for n in nodes:
+        nodes += [k for k in n.kids if isinstance(k, Node) and (not k.drop or k.soft)]
+    if not any(n.soft for n in nodes):
+        return
+    held: dict[int, list[int]] = {}
+    for n in reversed(nodes):
+        mine = [0, int(n.tag in ("h1", "article", "main"))]
+        for k in n.kids:
+            if isinstance(k, str):
+                mine[0] += len(_SPACE.sub(" ", k).strip())
+            elif id(k) in held:
+                mine = [x + y for x, y in zip(mine, held[id(k)], strict=True)]
+        held[id(n)] = mine if n.tag != "a" else [0, mine[1]]
+    text, heads = held[id(root)]
+    for n in nodes:
+        if n.soft and 2 * held[id(n)][0] > text and (held[id(n)][1] or not heads):
+            n.drop = False
 
 
 def _within(node: Node | None, tags: tuple[str, ...]) -> bool:
@@ -127,6 +169,7 @@ def parse(page: str) -> Node:
                     here = n.up
                 n = n.up
         node = Node(tag, here, _unwanted(tag, m[3], here))
+        node.soft = node.drop and (tag == "form" or tag not in DROP and not _hidden(m[3]))
         here.kids.append(node)
         if tag in VOID:
             continue
@@ -168,6 +211,7 @@ def _ordered(root: Node) -> list[Node]:
 
 
 def main_node(root: Node) -> Node:
+    _rescue(root)
     nodes = _ordered(root)
     body = next((n for n in nodes if n.tag == "body"), root)
     if body is not root:

@@ -356,3 +356,12 @@ def test_long_secrets(spark):
         assert len(a) == len(b) and b.startswith("token=") and b.endswith(" end")
         assert not any(a[k : k + 12] in b for k in range(6, len(a) - 16, 5))
     assert len({b[6:206] for b in new[:3]}) == 3 and new[0][6:70] != new[0][70:134]
+
+
+def test_html_names_of_wrappers():
+    story = "<h1>Title</h1><p>" + "The story goes on and on. " * 10 + "</p><p>" + "And then it ends. " * 10 + "</p>"
+    want = htmltext.extract(f"<body><div>{story}</div></body>")
+    assert want.startswith("Title")
+    for a, b in [("div class='content has-sidebar'", "div"), ("div class='content with-sidebar'", "div"), ("div class='wrap sidebar-right'", "div"), ("div class='page-content comments-open'", "div"), ("article class='post comments-open'", "article"), ("article class='tag-related-works'", "article"), ("form id=aspnetForm", "form")]:
+        assert htmltext.extract(f"<body><{a}>{story}</{b}><div class='cookie-notice'>We use cookies</div></body>") == want
+    assert htmltext.extract(f"<body><div>{story}</div><div class='comments'><p>{'nice post ' * 300}</p></div></body>") == want
