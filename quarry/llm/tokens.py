@@ -3,8 +3,8 @@
 A text is normalized and split by the tokenizer's own pattern; each piece that the worker does not know yet is
 tokenized by the library's model. That skips the library's offsets and masks, which cost more than the ids. Texts
 of characters below FOLD are split by Python's re and lower-cased in Python (they are all NFC), others are split by
-the regex library and normalized by the tokenizer. A tokenizer of another kind
-than byte-level BPE with one splitting pattern encodes whole texts as the library does.
+the regex library and normalized by the tokenizer. A text that holds the content of an added token goes through the
+library whole, and so do all texts of a tokenizer of another kind than byte-level BPE with one splitting pattern.
 """
 
 from __future__ import annotations
@@ -25,6 +25,16 @@ FOLD = 0x250
 BYTE_LEVEL = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
+def splitter(pattern: str):
+    """A function from a text to its matches of the pattern, by Python's re where that gives the same."""
+    wide, near = regex.compile(pattern).findall, re.compile(_narrow(pattern)).findall
+    return lambda text: (near if _is_narrow(text) else wide)(text)
+
+
+def _is_narrow(text: str) -> bool:
+    return text.isascii() or int(np.frombuffer(text.encode("utf-16-le", "surrogatepass"), "<u2").max()) < FOLD
+
+
 def _narrow(pattern: str) -> str:
     """The pattern with its Unicode classes written out for characters below FOLD."""
     chars = [chr(i) for i in range(FOLD)]
@@ -61,25 +71,28 @@ def _kind(config: dict) -> tuple[str, bool] | None:
     return None
 
 
-_KEPT: dict[str, object] = {}
+_KEPT: dict[tuple[str, bool], object] = {}
 
 
-def encoder(path: str):
-    """A function from texts to the ids of each, as little-endian unsigned 32-bit bytes."""
-    if path not in _KEPT:
-        _KEPT[path] = _encoder(path)
-    return _KEPT[path]
+def encoder(path: str, plain: bool = False):
+    """A function from texts to the ids of each, as little-endian unsigned 32-bit bytes. The content of a special token in
+    a text becomes that token, as the library does by default; with `plain` it is ordinary text."""
+    if (path, plain) not in _KEPT:
+        _KEPT[path, plain] = _encoder(path, plain)
+    return _KEPT[path, plain]
 
 
-def _encoder(path: str):
+def _encoder(path: str, plain: bool):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
+    t.encode_special_tokens = plain
+    added = [x.content for x in t.get_added_tokens_decoder().values() if not (plain and x.special)]
+    whole = lambda texts: [np.array(e.ids, "<u4").tobytes() for e in t.encode_batch(texts, add_special_tokens=False)]
     state = lambda part: json.loads(part.__getstate__()) if part is not None else None
     kind = _kind({"pre_tokenizer": state(t.pre_tokenizer), "normalizer": state(t.normalizer)})
-    if kind is None:
-        return lambda texts: [np.array(e.ids, "<u4").tobytes() for e in t.encode_batch(texts, add_special_tokens=False)]
+    if kind is None or any(x.normalized for x in t.get_added_tokens_decoder().values()):
+        return whole
     pattern, fold = kind
     wide, near, tokenize = regex.compile(pattern).findall, re.compile(_narrow(pattern)).findall, t.model.tokenize
     table, known = _bytes_as_text(), {}
@@ -90,7 +103,10 @@ def _encoder(path: str):
     def run(texts: list[str]) -> list[bytes]:
         out = []
         for text in texts:
-            if text.isascii() or int(np.frombuffer(text.encode("utf-16-le", "surrogatepass"), "<u2").max()) < FOLD:
+            if any(x in text for x in added):
+                out += whole([text])
+                continue
+            if _is_narrow(text):
                 pieces = near(text.lower() if fold else text)
             else:
                 pieces = wide(t.normalizer.normalize_str(text) if fold else text)

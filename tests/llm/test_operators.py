@@ -92,8 +92,32 @@ def test_byte_bpe(spark, docs, none):
     got = bpe.encode(spark, docs, path, P.PATTERN)
     assert Counter((r.doc_id, r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in got.collect()) == want
     assert bpe.encode(spark, none, path, P.PATTERN).count() == 0
-    for w in (b"y" * 300, " naïvetés".encode(), bytes(range(256))):
-        assert bpe.merge_word(w, ranks) == enc._core_bpe.encode_single_piece(w)
+    r = random.Random(7)
+    long_ = [b"y" * 300, b"=" * 5000, " naïvetés".encode() * 40, bytes(range(256)), *[bytes(r.choice(b"abc -=") for _ in range(r.randrange(1, 200))) for _ in range(200)], *[bytes(r.randrange(97, 123) for _ in range(n)) for n in (65, 300, 900)]]
+    df = spark.createDataFrame([(i, list(w)) for i, w in enumerate(long_)], "i int, w array<int>")
+    table = bpe.Ranks(ranks)
+    for row in df.select("i", bpe.fold_all(F.array("w"), table)[0].alias("ids")).collect():
+        assert row.ids == enc._core_bpe.encode_single_piece(long_[row.i])
+
+
+def test_bpe_ranks_out_of_order(spark):
+    """Pieces that unite at a lower rank than their own."""
+    ranks = {bytes([i]): i for i in range(256)}
+    ranks |= {w: 256 + i for i, w in enumerate([b"aba", b"abab", b"bb", b"ab", b"ba", b"aab", b"bbb", b"abb", b"aa"])}
+
+    def brute(w):
+        parts = [w[i : i + 1] for i in range(len(w))]
+        while True:
+            best = min(((ranks[a + b], i) for i, (a, b) in enumerate(zip(parts, parts[1:])) if a + b in ranks), default=None)
+            if best is None:
+                return [ranks[p] for p in parts]
+            parts[best[1] : best[1] + 2] = [parts[best[1]] + parts[best[1] + 1]]
+
+    r = random.Random(8)
+    words = [bytes(r.choice(b"ab") for _ in range(n)) for n in [*range(1, 64), *range(65, 180, 3)]]
+    table = bpe.Ranks(ranks)
+    for row in spark.createDataFrame([(i, list(w)) for i, w in enumerate(words)], "i int, w array<int>").select("i", bpe.fold_all(F.array("w"), table)[0].alias("ids")).collect():
+        assert row.ids == brute(words[row.i])
 
 
 def test_quality(docs, none):
@@ -154,12 +178,14 @@ def test_html(spark):
 def test_token_pieces_are_the_librarys(name):
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(P.path(name))
-    t.encode_special_tokens = True
     r = random.Random(2)
-    texts = ["", "<|endoftext|> a", "ΑΣ ΟΔΟΣ Σ", "İstanbul ǅ", "é x́", "a  b\t\n c d　e", "it's I'M we'LL", "x" * 500, " ", *[t for _, t, *_ in corpus()[:60]]]
-    texts += ["".join(r.choice("aAéßΣİ'\t \ńẞ1٣!?‍\x1c日 ½") for _ in range(50)) for _ in range(200)]
-    assert encoder(P.path(name))(texts) == [np.array(e.ids, "<u4").tobytes() for e in t.encode_batch(texts, add_special_tokens=False)]
+    texts = ["", "<|endoftext|> a", "a <|startoftext|><|endoftext|>b <|ENDOFTEXT|>", "ΑΣ ΟΔΟΣ Σ", "İstanbul ǅ", "é x́", "a  b\t\n c d　e", "it's I'M we'LL", "x" * 500, " ", *[t for _, t, *_ in corpus()[:60]]]
+    texts += ["".join(r.choice("aAéßΣİ'\t \ńẞ1٣!?‍\x1c日 ½") for _ in range(50)) for _ in range(200)]
+    for plain in (False, True):
+        t = Tokenizer.from_file(P.path(name))
+        if plain:
+            t.encode_special_tokens = True
+        assert encoder(P.path(name), plain)(texts) == [np.array(e.ids, "<u4").tobytes() for e in t.encode_batch(texts, add_special_tokens=False)]
 
 
 def test_packing(spark, docs, none):
