@@ -1,6 +1,8 @@
 """A training-corpus pipeline: language, quality, near-duplicates, pseudonyms, packing.
 
-Each stage takes all that its predecessor kept, as a table written in the shared folder.
+Each stage takes all that its predecessor kept, as a table written in the shared folder. Stages but the last return the
+columns of documents; others that the table may have are left out. Null texts and texts without a letter go in the first
+stage; rows with null doc_id are never grouped, and all stay. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -13,6 +15,8 @@ from pyspark.sql import functions as F
 from quarry.llm import langid, neardup, packing, pii, quality
 from quarry.session import materialize
 
+#: For the synthetic tables, where the session names no key (conf quarry.pii.key).
+TEST_KEY = "synthetic tables"
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
@@ -29,15 +33,16 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies (five words, 0.8), and one of equal rows."""
-    kept = neardup.groups(spark, docs, words=5, percent=80).where("kept").select(F.col("doc_id").alias("k"))
-    rows = docs.select(COLUMNS).join(kept, F.col("doc_id").eqNullSafe(F.col("k")), "left_semi")
+    kept = neardup.groups(spark, docs, words=5, percent=80).where("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("k"))
+    rows = docs.select(COLUMNS).join(kept, F.col("doc_id") == F.col("k"), "left_semi")
     once = F.row_number().over(W.partitionBy("doc_id", F.xxhash64("text")).orderBy("source", "lang"))
-    return rows.withColumn("__n", once).where("__n = 1 OR doc_id IS NULL").select(COLUMNS)
+    known = rows.where("doc_id IS NOT NULL").withColumn("__n", once).where("__n = 1").select(COLUMNS)
+    return known.unionByName(docs.select(COLUMNS).where("doc_id IS NULL"))
 
 
 def pseudonyms(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, personal values replaced; n_chars follows the new text."""
-    made = pii.pseudonymized(docs.select(COLUMNS))
+    made = pii.pseudonymized(docs.select(COLUMNS), key=pii.key_of(spark, TEST_KEY))
     return made.withColumn("n_chars", F.coalesce(F.length("text").cast("long"), F.col("n_chars"))).select(COLUMNS)
 
 
