@@ -131,3 +131,11 @@ def slices(batches: Iterable[pa.RecordBatch], column: str, most: int = 4 << 20)
         step = max(1, int(batch.num_rows * most / size)) if batch.num_rows else 1
         for at in range(0, batch.num_rows, step):
             yield batch.slice(at, step)
+
+
+def fresh(columns: list[str], name: str) -> str:
+    """name, with underscores until no column has it (Spark's names ignore case)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

@@ -12,20 +12,20 @@ from. Without any labelled row everything is "und". Repeated rows get equal resu
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import by_size, slices
+from quarry.llm.common import by_size, fresh, slices
 from quarry.session import ship
 
 DIM = 1024
-#: Labelled rows learned from, for each language, about; chosen by a hash of doc_id.
+#: Labelled rows learned from, for each language, about; chosen by a hash of doc_id and text.
 SAMPLE = 4000
 #: Characters of one text learned from or compared at a time.
 PIECE = 1 << 20
@@ -80,11 +80,12 @@ _KEPT = Vectors()
 
 def trigrams(text: str) -> tuple[np.ndarray, np.ndarray]:
     """Codes and counts of the letter trigrams of a text; runs of other characters count as one gap."""
-    parts = []
-    for at in range(0, max(1, len(text)), PIECE):
-        cps = np.frombuffer(text[at : at + PIECE].lower().encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
-        x = np.where(_is_letter()[cps], cps, 32)
-        x = np.concatenate([[32], x, [32]])
+    parts, low = [], text.lower()
+    x = np.array([32], np.int64)
+    for at in range(0, max(1, len(low)), PIECE):
+        cps = np.frombuffer(low[at : at + PIECE].encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
+        # The last two characters of a piece stay for the next one's first trigrams.
+        x = np.concatenate([x[-2:], np.where(_is_letter()[cps], cps, 32), [32] if at + PIECE >= len(low) else []]).astype(np.int64)
         x = x[np.concatenate([[True], (x[1:] != 32) | (x[:-1] != 32)])]
         if len(x) >= 3:
             parts.append(np.unique(x[:-2] << 42 | x[1:-1] << 21 | x[2:], return_counts=True))
@@ -119,7 +120,7 @@ def fit(spark: SparkSession, labelled: DataFrame, sample: int = SAMPLE) -> tuple
     if not counts:
         return [], np.zeros((0, DIM), np.float32)
     rate = F.create_map(*[x for k, n in counts.items() for x in (F.lit(k), F.lit(min(1.0, sample / n)))])
-    part = rows.where(F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1 << 20)) < rate[F.col("lang")] * (1 << 20))
+    part = rows.where(F.pmod(F.xxhash64("doc_id", "text", F.lit(11)), F.lit(1 << 20)) < rate[F.col("lang")] * (1 << 20))
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, np.ndarray] = {}
@@ -131,13 +132,14 @@ def fit(spark: SparkSession, labelled: DataFrame, sample: int = SAMPLE) -> tuple
                 for lang, x in zip(part.column("lang").to_pylist(), v.astype(np.float64), strict=True):
                     total[lang] = total.get(lang, 0) + x
         if total:
-            yield pa.record_batch({"lang": pa.array(list(total)), "part": pa.array([np.random.default_rng(zlib.crc32(k.encode()) + int(abs(x[0]) * 1e6)).integers(64) for k, x in total.items()], pa.int32()), "v": pa.array([x.tolist() for x in total.values()], pa.list_(pa.float64()))})
+            yield pa.record_batch({"lang": pa.array(list(total)), "part": pa.array([TaskContext.get().partitionId()] * len(total), pa.int32()), "v": pa.array([x.tolist() for x in total.values()], pa.list_(pa.float64()))})
 
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"lang": [pdf["lang"].iloc[0]], "part": [0], "v": [np.sum(np.stack(pdf["v"].to_list()), axis=0)]})
+        # Sums of floats in the order of the partitions, so that equal runs give equal scores.
+        return pd.DataFrame({"lang": [pdf["lang"].iloc[0]], "part": [int(pdf["part"].min())], "v": [np.sum(np.stack(pdf.sort_values("part")["v"].to_list()), axis=0)]})
 
     schema = "lang string, part int, v array<double>"
-    some = part.mapInArrow(sums, schema).groupBy("lang", "part").applyInPandas(add, schema)
+    some = part.mapInArrow(sums, schema).groupBy("lang", F.col("part") % 64).applyInPandas(add, schema)
     got = sorted((r["lang"], r["v"]) for r in some.groupBy("lang").applyInPandas(add, schema).collect())
     names = [k for k, _ in got]
     protos = np.array([v for _, v in got])
@@ -166,8 +168,9 @@ def predict(df: DataFrame, model: tuple[list[str], np.ndarray], text: str = "tex
         parts = [best(["" if t is None else t for t in s.iloc[k : k + 500]]) for k in range(0, len(s), 500)]
         return pd.DataFrame({"lang_pred": [x for names_, _ in parts for x in names_], "score": np.concatenate([p for _, p in parts]) if parts else []})
 
-    made = df.withColumn("__lang", run(F.col(text)))
-    return made.withColumns({"lang_pred": F.col("__lang.lang_pred"), "score": F.col("__lang.score")}).drop("__lang")
+    both = fresh(df.columns, "__lang")
+    made = df.withColumn(both, run(F.col(text)))
+    return made.withColumns({"lang_pred": F.col(both)["lang_pred"], "score": F.col(both)["score"]}).drop(both)
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
