@@ -1,9 +1,11 @@
 """Main-text extraction by composite text density.
 
 A page becomes a tree. Every node has the characters and tags of its subtree, and those inside links; its density is
-characters per tag, adjusted by the link shares. A node's density sum adds its children's densities. The threshold
-is the least density on the path from the node of greatest density sum up to the body; the main subtree is the
-node of greatest density sum among those at least that dense. Menus, headers, footers, sidebars, notices, adverts,
+characters per tag, adjusted by the link shares. A block's density sum adds the densities of the blocks in it and of its
+own text; inline markup belongs to the text that it stands in. The main subtree is the block of greatest density sum, the
+outermost of equal ones. The least density on the path from it up to the body is the threshold: blocks beside it of its
+own tag, at least that dense and with less than a third of their text in links, belong to it, as do the enclosing article
+or main element if most of that one's text is in it. Menus, headers, footers, sidebars, notices, adverts,
 forms, scripts, styles and reader comments are left out before and inside it.
 
 Null and empty pages, and pages without text, give the empty text. Markup that ends early is closed at its end; an
@@ -51,7 +53,7 @@ OTHER = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo|comments?|re
 HEADER = re.compile(r"(?:^|[\s_-])(?:header|site-?header|page-?header)(?:$|[\s_-])", re.I)
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
 _ATTR = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'=<>`]+)))?")
-_SPACE = re.compile(r"[ \t\n\r\f\v\xa0]+")
+_SPACE = re.compile(r"\s+")
 
 
 #: Words that stand beside those of NAMES in a class or id.
@@ -69,13 +71,13 @@ def _named(words: re.Pattern, names: list[str]) -> bool:
 
 
 class Node:
-    __slots__ = ("tag", "kids", "up", "drop", "chars", "tags", "link_chars", "link_tags", "density", "total", "soft")
+    __slots__ = ("tag", "kids", "up", "drop", "chars", "tags", "link_chars", "link_tags", "density", "total", "soft", "blocky")
 
     def __init__(self, tag: str, up: Node | None, drop: bool):
         self.tag, self.up, self.drop, self.kids = tag, up, drop, []
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.total = 0.0
-        self.soft = False
+        self.soft = self.blocky = False
 
 
 def _unwanted(tag: str, raw: str, up: Node) -> bool:
@@ -210,7 +212,8 @@ def _ordered(root: Node) -> list[Node]:
     return out
 
 
-def main_node(root: Node) -> Node:
+def densest(root: Node) -> tuple[Node, Node]:
+    """The body, and the block of greatest density sum."""
     _rescue(root)
     nodes = _ordered(root)
     body = next((n for n in nodes if n.tag == "body"), root)
@@ -225,43 +228,40 @@ def main_node(root: Node) -> Node:
                 n.link_chars, n.link_tags = n.link_chars + k.link_chars, n.link_tags + k.link_tags
         if n.tag == "a":
             n.link_chars, n.link_tags = n.chars, n.tags + 1
-    share, e = (body.link_chars / body.chars if body.chars else 0), math.e
-    for n in nodes:
-        c, t, lc, lt = n.chars, max(1, n.tags), n.link_chars, n.link_tags
-        if c:
-            base = math.log(c / max(1, c - lc) * lc + share * c + e)
-            n.density = c / t * math.log(max(1.0, c / max(1, lc) * t / max(1, lt)) + e - 1, max(base, 1.0001))
-    for n in nodes:
-        # Text that stands in the node itself counts as a child of its own.
-        own = sum(len(_SPACE.sub(" ", k).strip()) for k in n.kids if isinstance(k, str))
-        n.total = sum(k.density for k in n.kids if isinstance(k, Node) and not k.drop) + own
-    top = max(nodes, key=lambda n: n.total)
-    least, n = top.density, top
-    while n is not body and n.up is not None:
-        n = n.up
-        least = min(least, n.density)
-    best = max((n for n in nodes if n.density >= least), key=lambda n: n.total, default=top)
-    # The article that the subtree is part of, else the page's main element, is the whole of it.
-    n, whole = best, None
-    while n is not None and (whole is None or whole.tag != "article"):
-        if n.tag in ("article", "main"):
-            whole = n
-        n = n.up
-    if whole is not None:
-        return whole
-    articles = [n for n in nodes if n.tag == "article" and n.chars]
-    if len(articles) == 1 and _below(articles[0], best):
-        return articles[0]
-    return best if best.tag not in ("p", "li", "h1", "h2", "h3", "h4", "h5", "h6", "b", "i", "em", "strong", "span", "a") or best.up is None else best.up
-
-
-def _below(node: Node, top: Node) -> bool:
-    n: Node | None = node
-    while n is not None:
-        if n is top:
-            return True
-        n = n.up
-    return False
+    share = body.link_chars / body.chars if body.chars else 0
+    for n in reversed(nodes):
+        kids = [k for k in n.kids if isinstance(k, Node) and not k.drop]
+        n.blocky = n.tag in BLOCK or any(k.blocky for k in kids)
+        n.density = _density(n.chars, n.tags, n.link_chars, n.link_tags, share)
+        # The text of a block itself, with its inline markup, counts as a child.
+        run = [k for k in kids if not k.blocky]
+        own = sum(len(_SPACE.sub(" ", k).strip()) for k in n.kids if isinstance(k, str)) + sum(k.chars for k in run)
+        n.total = sum(k.density for k in kids if k.blocky) + _density(own, sum(k.tags + 1 for k in run), sum(k.link_chars for k in run), sum(k.link_tags for k in run), share)
+    return body, max((n for n in nodes if n.blocky or n is body), key=lambda n: n.total)
+
+
+def _density(chars: int, tags: int, link_chars: int, link_tags: int, share: float) -> float:
+    """Characters per tag, less the denser the links are; share is the share of links in the whole page's text."""
+    if not chars:
+        return 0.0
+    tags = max(1, tags)
+    base = math.log(chars / max(1, chars - link_chars) * link_chars + share * chars + math.e)
+    return chars / tags * math.log(max(1.0, chars / max(1, link_chars) * tags / max(1, link_tags)) + math.e - 1, max(base, 1.0001))
+
+
+def main_nodes(root: Node) -> list[Node]:
+    """The main subtree, or the main subtrees side by side, in page order."""
+    body, best = densest(root)
+    path = [best]
+    while path[-1] is not body and path[-1].up is not None:
+        path.append(path[-1].up)
+    for n in path[1:]:
+        if n.tag in ("article", "main") and 2 * best.chars > n.chars:
+            best = n
+    threshold = min(n.density for n in path)
+    if best is body or best.up is None:
+        return [best]
+    return [k for k in best.up.kids if k is best or isinstance(k, Node) and not k.drop and k.tag == best.tag and k.density >= threshold and 3 * k.link_chars < k.chars]
 
 
 def text_of(top: Node) -> str:
@@ -297,7 +297,7 @@ def text_of(top: Node) -> str:
 
 
 def extract(page: str | None) -> str:
-    return text_of(main_node(parse(page))) if page else ""
+    return "\n".join(t for n in main_nodes(parse(page)) if (t := text_of(n))) if page else ""
 
 
 def extracted(pages: DataFrame) -> DataFrame:
