@@ -58,35 +58,50 @@ def plan(histogram: dict[int, int], tokens: int = TOKENS, documents: int | None
     weight = np.array(weights)
     if any(n > tokens or n < 1 or n * n > caps[2] for n in histogram):
         raise ValueError("a piece exceeds a capacity")
+    # Groups of sequences with equal content: first sequence, use, count; and what each run of pieces becomes.
     base, used, count = [], np.zeros((0, 3)), np.zeros(0, np.int64)
     rows: list[tuple[int, int, int, int, int]] = []
     sequences = 0
+
+    def group(first: int, use: np.ndarray, n: int) -> None:
+        nonlocal used, count
+        base.append(first)
+        used, count = np.vstack([used, use]), np.append(count, n)
+
     for n in sorted(histogram, reverse=True):
         use, left, rank = np.array([n, 1, n * n], float), histogram[n], 0
         while left:
-            room = caps - used
-            fits = np.flatnonzero((room >= use).all(axis=1) & (count > 0))
+            fits = np.flatnonzero((caps - used >= use).all(axis=1) & (count > 0))
             if len(fits):
-                share = (room[fits] - use) / caps
+                share = (caps - used[fits] - use) / caps
                 value = (weight * (use / caps) * share).sum(axis=1) if score == "dot" else (weight * share**2).sum(axis=1)
                 g = fits[np.lexsort((fits, value))[0]]
-                take = min(left, int(count[g]))
-                rows.append((n, rank, rank + take, base[g], int(used[g, 0])))
-                if take < count[g]:  # the rest of the group stays as it was
-                    base.append(base[g] + take)
-                    used, count = np.vstack([used, used[g]]), np.append(count, count[g] - take)
-                    count[g] = take
-                used[g] += use
+                first, before, n_same = base[g], used[g].copy(), int(count[g])
+            else:
+                g, first, before, n_same = None, sequences, np.zeros(3), left
+            # A sequence that takes a piece has less room and stays the best one until the next doesn't fit: sequences are
+            # filled in turn, the last one perhaps in part.
+            each = int(min(np.floor((caps - before) / use)))
+            whole = min(n_same, left // each)
+            part = left - whole * each if whole < n_same else 0
+            for k in range(each):
+                if whole:
+                    rows.append((n, rank, rank + whole, first, int(before[0]) + k * n))
+                    rank += whole
+            for k in range(part):
+                rows.append((n, rank, rank + 1, first + whole, int(before[0]) + k * n))
+                rank += 1
+            taken = whole + (part > 0)
+            if g is None:
+                sequences += taken
             else:
-                # one piece in each of as many new sequences as would each hold as many as fit
-                each = max(1, int(min(np.floor(caps / use))))
-                take = -(-left // each)
-                base.append(sequences)
-                used, count = np.vstack([used, use]), np.append(count, take)
-                rows.append((n, rank, rank + take, sequences, 0))
-                sequences += take
-            left, rank = left - take, rank + take
-        live = (caps - used).min(axis=1) >= 1  # full groups take no more
+                base[g], count[g] = first + taken, n_same - taken
+            if whole:
+                group(first, before + each * use, whole)
+            if part:
+                group(first + whole, before + part * use, 1)
+            left -= whole * each + part
+        live = ((caps - used).min(axis=1) >= 1) & (count > 0)  # full groups take no more
         base, used, count = [b for b, x in zip(base, live, strict=True) if x], used[live], count[live]
     return rows
 
