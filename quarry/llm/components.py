@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.session import materialize
+from quarry.session import discard, materialize
 
 
 def components(spark: SparkSession, edges: DataFrame, rounds: int = 60) -> DataFrame:
@@ -18,7 +18,7 @@ def components(spark: SparkSession, edges: DataFrame, rounds: int = 60) -> DataF
     edges don't matter; edges with a null end are ignored. No edges: no rows."""
     ends = edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a IS NOT NULL AND b IS NOT NULL")
     now = materialize(spark, ends.distinct(), "edges")
-    labels: DataFrame | None = None
+    labels = first = None
     for _ in range(rounds):
         if labels is not None and now.isEmpty():
             return labels
@@ -27,13 +27,17 @@ def components(spark: SparkSession, edges: DataFrame, rounds: int = 60) -> DataF
         own = F.xxhash64("a")
         moves = materialize(spark, best.select(F.col("a").alias("id"), F.when(F.col("m.h") < own, F.col("m.b")).otherwise(F.col("a")).alias("to")), "moves")
         if labels is None:
+            first = moves
             labels = moves.withColumnRenamed("to", "label")
         else:
             step = moves.select(F.col("id").alias("label"), "to")
+            old = labels
             labels = materialize(spark, labels.join(step, "label", "left").select("id", F.coalesce("to", "label").alias("label")), "labels")
+            discard(spark, old)
         at, bt = moves.select(F.col("id").alias("a"), F.col("to").alias("ta")), moves.select(F.col("id").alias("b"), F.col("to").alias("tb"))
         moved = now.join(at, "a").join(bt, "b").where("ta <> tb").select(F.least("ta", "tb").alias("a"), F.greatest("ta", "tb").alias("b")).distinct()
-        now = materialize(spark, moved, "edges")
+        last, now = now, materialize(spark, moved, "edges")
+        discard(spark, last, moves if first is not moves else None)
     if not now.isEmpty():
         raise RuntimeError("components did not settle")
     return labels
