@@ -11,7 +11,9 @@ an address, a date a date:
           the digits after the first two
   ssn     three, two and four digits (no 000, 666, 9xx; no 00; no 0000): permuted among those
   ip      four numbers up to 255: permuted as 32 bits
-  date    a true calendar date from 1900 to 2100: the days are permuted, the order of the parts and the separators stay
+  date    a true calendar date from 1900 to 2100: the days are permuted, the separators stay, and so does the order of the
+          parts, but that a date with the month first (its day over 12 shows it) comes out day first where the new day is
+          12 or less: kept, it would read as another day, and two values would share a pseudonym
   iban    of the length of its country, with right check digits: the account's digits are permuted and its letters
           shifted by a keyed hash of the digits, check digits computed anew
   email   name and domain are replaced by letters from a keyed hash under the reserved domain example.com
@@ -22,11 +24,14 @@ Null texts stay null, empty ones empty; texts without a value stay as they are.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarry.llm.common import fresh
+
 ROUNDS = 8
-KEY = "quarry-pseudonyms"
+#: Where a session names its key. Whoever has the key can undo the pseudonyms, so the operator has none of its own.
+KEY_CONF = "quarry.pii.key"
 #: Dates start here; the days are permuted as DAYS[0] * DAYS[1] values.
 FIRST_DAY, DAYS = "1900-01-01", (271, 270)
 
@@ -63,7 +68,7 @@ def _hash(key: str, *parts: Column) -> Column:
     return F.conv(F.substring(F.sha2(F.concat_ws("|", F.lit(key), *parts), 256), 1, 15), 16, 10).cast("bigint")
 
 
-def feistel(x: Column, y: Column, a: Column, b: Column, kind: str, key: str = KEY) -> Column:
+def feistel(x: Column, y: Column, a: Column, b: Column, kind: str, key: str) -> Column:
     """struct(x, y) permuted over 0 <= x < a, 0 <= y < b: by turns one half is shifted by a keyed hash of the other."""
 
     def step(s: Column, i: Column) -> Column:
@@ -256,7 +261,7 @@ def kind_of(m: Column) -> Column:
     )
 
 
-def pseudonym(m: Column, key: str = KEY) -> Column:
+def pseudonym(m: Column, key: str) -> Column:
     """struct(kind, text) of one match."""
 
     def by(k: Column) -> Column:
@@ -301,14 +306,25 @@ def _split(m: Column) -> Column:
     return F.when(m.rlike(f"^(?:{RUN})$") & ~m.rlike(f"^(?:{DATE}|{SSN})$"), _let(F.regexp_extract_all(m, F.lit("[ -]|[^ -]+"), F.lit(0)), values)).otherwise(F.array(m))
 
 
-def pseudonymized(df: DataFrame, text: str = "text", out: str = "text", found: str = "pii_kinds", key: str = KEY) -> DataFrame:
-    """df with `out` (the text with pseudonyms) and `found` (the kind of each replaced value, in order)."""
+def key_of(spark: SparkSession, otherwise: str | None = None) -> str:
+    """The session's key (conf quarry.pii.key); without one `otherwise`, for tables that hold no real person, or an error."""
+    key = spark.conf.get(KEY_CONF, otherwise) if otherwise is not None else spark.conf.get(KEY_CONF, "")
+    if not key:
+        raise ValueError(f"set {KEY_CONF}")
+    return key
+
+
+def pseudonymized(df: DataFrame, text: str = "text", out: str = "text", found: str = "pii_kinds", key: str | None = None) -> DataFrame:
+    """df with `out` (the text with pseudonyms) and `found` (the kind of each replaced value, in order). The key is the
+    session's where none is given; an existing column `out` or `found` is replaced, no other."""
+    key = key or key_of(df.sparkSession)
     t = F.col(text)
     hit = F.regexp_count(t, F.lit(ANY)) > 0
     new = F.transform(F.regexp_extract_all(t, F.lit(f"({ANY})"), F.lit(1)), lambda m: F.transform(_split(m), lambda v: pseudonym(v, key)))
-    named = df.withColumn("__new", F.when(t.rlike(HINT) & hit, new))
-    n = F.col("__new")
+    held = fresh([*df.columns, out, found], "__new")
+    named = df.withColumn(held, F.when(t.rlike(HINT) & hit, new))
+    n = F.col(held)
     # A value that isn't valid keeps its own text, so both lists stay in step.
     joined = F.array_join(F.flatten(F.zip_with(F.split(t, ANY, -1), F.transform(n, lambda x: F.array_join(x["text"], "")), lambda a, b: F.array(a, F.coalesce(b, F.lit(""))))), "")
     kinds = F.filter(F.transform(F.flatten(n), lambda x: x["kind"]), lambda k: k.isNotNull())
-    return named.withColumns({out: F.when(n.isNull(), t).otherwise(joined), found: F.coalesce(kinds, F.array().cast("array<string>"))}).drop("__new")
+    return named.withColumns({out: F.when(n.isNull(), t).otherwise(joined), found: F.coalesce(kinds, F.array().cast("array<string>"))}).drop(held)

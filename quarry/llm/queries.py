@@ -11,6 +11,10 @@ from pyspark.sql import functions as F
 from quarry.llm import bpe, fingerprint, htmltext, langid, neardup, packing, pii, quality, tokenbin, warc
 
 
+#: For the synthetic tables, where a session names no key.
+TEST_KEY = "synthetic tables"
+
+
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -48,7 +52,7 @@ def op7_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = pii.pseudonymized(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    made = pii.pseudonymized(_table(spark, sf_dir, "documents").select("doc_id", "text"), key=pii.key_of(spark, TEST_KEY))
     return made.select("doc_id", "text", F.size("pii_kinds").alias("n_replaced"), F.array_join("pii_kinds", ",").alias("kinds"))
 
 

@@ -18,6 +18,7 @@ from quarry.llm.tokens import encoder
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, n_words string, label string, row string"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
+LOW = str.maketrans({chr(i): chr(i + 32) for i in range(65, 91)})
 
 
 def corpus():
@@ -60,6 +61,21 @@ def test_fingerprint(spark, docs, none):
         want[(d, len(t), hashlib.sha256((t[: len(t) - m] + after[:m]).encode()).hexdigest())] += 1
     got = fingerprint.with_next(spark, docs).collect()
     assert Counter((r.doc_id, r.n_chars, r.edited_sha256) for r in got) == want
+    shingles = lambda t: {tuple(w[i : i + 5]) for w in [WORD.findall(t.translate(LOW))] for i in range(max(1, len(w) - 4)) if w}
+    like = lambda a, b: len(a & b) / len(a | b) if a and b else float(len(a) == len(b))
+    exact, close = defaultdict(list), defaultdict(list)
+    for i, (d, t) in enumerate(rows):
+        after = rows[(i + 1) % len(rows)][1]
+        m = len(t) // 4
+        own, edited, next_ = shingles(t), shingles(t[: len(t) - m] + after[:m]), shingles(after)
+        for other, which in ((edited, "near_edited"), (next_, "near_next")):
+            (exact if len(own | other) <= fingerprint.K else close)[d, which].append(like(own, other))
+    assert len(exact) > 60
+    for which in ("near_edited", "near_next"):
+        for d in {r.doc_id for r in got}:
+            have = sorted(getattr(r, which) for r in got if r.doc_id == d)
+            want_ = sorted(exact[d, which] + close[d, which])
+            assert have == pytest.approx(want_, abs=1e-9 if not close[d, which] else 0.15)
     one = {r.fingerprint for r in got if r.doc_id == 3}
     assert len(one) == 1 and all(0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1 for r in got)
     assert fingerprint.with_next(spark, none).count() == 0
@@ -159,6 +175,51 @@ def test_language(spark, docs, none):
     assert langid.predict(none, model).count() == 0
 
 
+def test_language_is_the_cosine(spark):
+    """Against bundles made trigram by trigram."""
+    texts = [(0, "the cat and the hat", "en"), (1, "die Katze und der Hut", "de"), (2, "le chat et le chapeau", "fr"), (3, "the Hut, et la Katze!", None), (4, "x", None), (5, "Ünïcödé ΑΣ ñ", "fr")]
+
+    def brute(text):
+        low = "".join(c if c.isalpha() else " " for c in text.lower())
+        low = " " + " ".join(low.split()) + " "
+        v = np.zeros(langid.DIM)
+        for a, b, c in zip(low, low[1:], low[2:], strict=False):
+            v += np.roll(langid._letter(ord(a)), 2) * np.roll(langid._letter(ord(b)), 1) * langid._letter(ord(c))
+        return v / np.linalg.norm(v)
+
+    protos = {}
+    for lang in ("de", "en", "fr"):
+        v = sum(brute(t) for _, t, x in texts if x == lang)
+        protos[lang] = v / np.linalg.norm(v)
+    mean = sum(protos.values()) / 3
+    protos = {k: (v - mean) / np.linalg.norm(v - mean) for k, v in protos.items()}
+    df = spark.createDataFrame([(*t, "clash") for t in texts], "doc_id long, text string, lang string, __lang string")
+    got = langid.predict(df, langid.fit(spark, df))
+    assert set(got.columns) == {*df.columns, "lang_pred", "score"}
+    for r in got.collect():
+        cos = {k: float(brute(r.text) @ v) for k, v in protos.items()}
+        best = max(sorted(cos), key=cos.get)
+        assert r.lang_pred == best and r.score == pytest.approx(max(0, min(1, cos[best])), abs=1e-5)
+
+
+def test_language_of_null_ids_and_long_texts(spark):
+    rows = [(None, f"the cat {i} and the hat in that", "en") for i in range(50)] + [(None, f"die Katze {i} und der Hut nicht", "de") for i in range(50)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    names, _ = langid.fit(spark, df, sample=30)
+    assert names == ["de", "en"]
+    text = "aé ß, the cat. " * 90_000
+    for size in (10, 1 << 10, 1 << 20):
+        old, langid.PIECE = langid.PIECE, size
+        try:
+            part = text[:3000] if size == 10 else text
+            got = dict(zip(*(x.tolist() for x in langid.trigrams(part)), strict=True))
+        finally:
+            langid.PIECE = old
+        low = " " + " ".join("".join(c if c.isalpha() else " " for c in part.lower()).split()) + " "
+        want = Counter((ord(a) << 42 | ord(b) << 21 | ord(c)) for a, b, c in zip(low, low[1:], low[2:], strict=False))
+        assert got == want
+
+
 def test_html(spark):
     page = """<!DOCTYPE html><html><head><title>t</title><style>p{}</style></head><body><header><h1>Site</h1></header><nav><ul><li><a href=x>Menu</a></ul></nav>
     <div class="cookie-notice">We use cookies</div><aside>side</aside><div id="content"><h1>A &amp; B</h1><p>First   <b>bold</b>
@@ -223,8 +284,36 @@ def test_packing_plan_is_sequential_best_fit(limits):
         parts.sort()
         assert [o for o, _ in parts] == np.cumsum([0, *[n for _, n in parts]])[:-1].tolist()
         assert sum(n for _, n in parts) <= caps[0] and len(parts) <= caps[1] and sum(n * n for _, n in parts) <= caps[2]
-    least = max(-(-sum(n * c for n, c in sizes.items()) // caps[0]), -(-sum(sizes.values()) // caps[1]), -(-sum(n * n * c for n, c in sizes.items()) // caps[2]))
-    assert len(seqs) <= 1.1 * least + 2
+    assert Counter(tuple(sorted(n for _, n in parts)) for parts in seqs.values()) == Counter(tuple(sorted(x)) for x in brute_best_fit(sizes, caps, limits.get("score", "dot")))
+
+
+def brute_best_fit(sizes, caps, score):
+    """One piece after the other, by falling length."""
+    weights, open_ = (1.0, 1e-3, 1e-3), []
+    for n in sorted(sizes.elements(), reverse=True):
+        use, best = (n, 1, n * n), None
+        for parts, room in open_:
+            if all(r >= u for r, u in zip(room, use, strict=True)):
+                share = [(r - u) / c for r, u, c in zip(room, use, caps, strict=True)]
+                value = sum(w * (u / c) * s if score == "dot" else w * s * s for w, u, c, s in zip(weights, use, caps, share, strict=True))
+                if best is None or value < best[0] - 1e-15:
+                    best = value, parts, room
+        if best is None:
+            best = 0, [], list(caps)
+            open_.append(best[1:])
+        best[1].append(n)
+        best[2][:] = [r - u for r, u in zip(best[2], use, strict=True)]
+    return [parts for parts, _ in open_]
+
+
+def test_packing_capacities_act(spark, docs):
+    path = P.path("byte_bpe_50k.json")
+    for limits in ({"documents": 2}, {"attention": 1024**2 // 2, "tokens": 700}):
+        seqs = defaultdict(list)
+        for r in packing.pack(spark, packing.pieces(docs, path, limits.get("tokens", 1024)), **limits).collect():
+            seqs[r.sequence_id].append(r.length)
+        assert max(map(len, seqs.values())) <= limits.get("documents", 1024) and max(sum(n * n for n in x) for x in seqs.values()) <= limits.get("attention", 1024**2)
+        assert sum(map(sum, seqs.values())) == packing.pieces(docs, path).agg(F.sum("length")).first()[0]
 
 
 def brute_groups(rows, words, percent):
@@ -276,6 +365,34 @@ def test_links_in_blocks_lose_none(spark, monkeypatch):
     assert got == {i: c for i, (_, c) in brute_groups(rows, 3, 85).items()}
 
 
+def test_large_clusters_lose_no_link(spark, monkeypatch):
+    """Chains of near copies around several hubs, in many blocks."""
+    monkeypatch.setattr(neardup, "BLOCK", 300)
+    r = random.Random(9)
+    rows, n = [], 0
+    for _ in range(3):
+        ws = [f"w{i}" for i in range(50)]
+        for _ in range(40):
+            if r.random() < 0.6:
+                ws[r.randrange(50)] = f"v{r.randrange(10**6)}"
+            rows.append((n, " ".join(ws)))
+            n += 1
+    for percent, words in ((85, 3), (70, 2)):
+        got = {x.doc_id: x.component_id for x in neardup.groups(spark, spark.createDataFrame(rows, "doc_id long, text string"), words, percent).collect()}
+        assert got == {i: c for i, (_, c) in brute_groups(rows, words, percent).items()}
+
+
+def test_signatures_of_many_places_and_chunks(monkeypatch):
+    r = np.random.default_rng(2)
+    vals = np.sort(r.integers(1, 2**63, 5000, dtype=np.uint64))
+    doc = np.repeat([0, 1, 2], [10, 4000, 990])
+    a = neardup.signatures(vals, doc, 3, 400)
+    monkeypatch.setattr(neardup, "CHUNK", 700)
+    assert np.array_equal(a, neardup.signatures(vals, doc, 3, 400))
+    bands = neardup.band_hashes(a)
+    assert not (bands[0] == bands[1]).any()
+
+
 def test_superminhash_estimates():
     r = np.random.default_rng(1)
     pool = r.integers(1, 2**63, 900, dtype=np.uint64)
@@ -293,7 +410,7 @@ def test_components_chain_and_star(spark):
 
 def test_pii(spark, docs, none):
     text = "mail bo.b@mail.example.com and BO.B@mail.example.com, 10.1.200.3, +1 (988) 555-2485, 4041894974608795, 4041-8949-7460-8795 on 1987-03-14 or 3.4.1999; 123-45-6789 DE89370400440532013000 token = \"0641917ea4e9\" end"
-    made = pii.pseudonymized(spark.createDataFrame([(1, text), (2, text), (3, None), (4, ""), (5, "1234567890123456 and 1.5 or 2024-13-45")], "doc_id long, text string"), out="new").orderBy("doc_id").collect()
+    made = pii.pseudonymized(spark.createDataFrame([(1, text), (2, text), (3, None), (4, ""), (5, "1234567890123456 and 1.5 or 2024-13-45")], "doc_id long, text string"), out="new", key="k").orderBy("doc_id").collect()
     assert made[0].new == made[1].new and made[2].new is None and made[3].new == "" and made[4].new == made[4].text
     assert made[0].pii_kinds == ["email", "email", "ip", "phone", "card", "card", "date", "date", "ssn", "iban", "secret"]
     for secret in ("bo.b", "10.1.200.3", "555-2485", "4041894974608795", "1987-03-14", "123-45-6789", "370400440532013000", "0641917ea4e9"):
@@ -304,14 +421,76 @@ def test_pii(spark, docs, none):
     assert sum(digits[::2]) + sum(d * 2 - 9 * (d > 4) for d in digits[1::2]) and (sum(digits[::2]) + sum(d * 2 - 9 * (d > 4) for d in digits[1::2])) % 10 == 0
     iban = re.search(r"DE[0-9]{20}", made[0].new)[0]
     assert int(iban[4:] + "1314" + iban[2:4]) % 97 == 1
-    plan = pii.pseudonymized(docs)._jdf.queryExecution().executedPlan().toString()
+    plan = pii.pseudonymized(docs, key="k")._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
-    assert pii.pseudonymized(docs).count() == len(corpus()) and pii.pseudonymized(none).count() == 0
+    assert pii.pseudonymized(docs, key="k").count() == len(corpus()) and pii.pseudonymized(none, key="k").count() == 0
+
+
+def test_pii_columns_and_key(spark):
+    df = spark.createDataFrame([(1, "mail a@b.example.com", "kept")], "doc_id long, text string, __new string")
+    row = pii.pseudonymized(df, key="k").first()
+    assert row["__new"] == "kept" and row.pii_kinds == ["email"]
+    assert pii.pseudonymized(df, key="other").first().text != row.text
+    with pytest.raises(ValueError, match="quarry.pii.key"):
+        pii.pseudonymized(df)
+    spark.conf.set("quarry.pii.key", "k")
+    try:
+        assert pii.pseudonymized(df).first().text == row.text
+    finally:
+        spark.conf.unset("quarry.pii.key")
+
+
+def test_pii_values_map_one_to_one(spark):
+    """Many values of each kind: no two share a pseudonym, and each one is a value of its kind."""
+    r = random.Random(11)
+
+    def luhn(body):
+        total = sum(int(c) if i % 2 else sum(divmod(2 * int(c), 10)) for i, c in enumerate(reversed(body)))
+        return body + str(-total % 10)
+
+    import datetime
+
+    days = [datetime.date(1960, 1, 1) + datetime.timedelta(k) for k in range(0, 9000, 9)]
+    values = {
+        "card": {luhn("4" + f"{r.randrange(10**14):014d}") for _ in range(300)},
+        "ip": {".".join(str(r.randrange(256)) for _ in range(4)) for _ in range(300)},
+        "ssn": {f"{r.choice([1, 665, 667, 899, *range(2, 600)]):03d}-{r.randrange(1, 100):02d}-{r.randrange(1, 10000):04d}" for _ in range(300)},
+        "date": {d.isoformat() for d in days} | {d.strftime("%d.%m.%Y") for d in days} | {d.strftime("%m/%d/%Y") for d in days},
+        "phone": {f"({r.randrange(200, 1000)}) {r.randrange(200, 1000)}-{r.randrange(10000):04d}" for _ in range(300)},
+    }
+    forms = {"card": r"\d{15}\d", "ip": r"(\d{1,3}\.){3}\d{1,3}", "ssn": r"\d{3}-\d{2}-\d{4}", "date": r"\d{4}-\d\d-\d\d|\d\d[./]\d\d[./]\d{4}", "phone": r"\(\d{3}\) \d{3}-\d{4}"}
+    rows = [(k, v) for k, vs in values.items() for v in sorted(vs)]
+    got = pii.pseudonymized(spark.createDataFrame(rows, "kind string, text string").repartition(4), out="new", key="k").collect()
+    for kind in values:
+        mine = [x for x in got if x.kind == kind]
+        assert all(x.pii_kinds == [kind] and re.fullmatch(forms[kind], x.new) for x in mine)
+        assert len({x.new for x in mine}) == len({x.text for x in mine})
+
+
+def test_texts_over_a_mebibyte(spark):
+    """One long text through every operator that cuts texts up."""
+    r = random.Random(12)
+    words = [f"wörd{r.randrange(10**5)}" for _ in range(200_000)]
+    text = " ".join(words)
+    assert len(text.encode()) > 2 << 20
+    df = spark.createDataFrame([(1, text, "en"), (2, text + " end", "en")], "doc_id long, text string, lang string")
+    sets = [{tuple(w[i : i + 3]) for i in range(len(w) - 2)} for w in (words, [*words, "end"])]
+    assert {(x.doc_id, x.n_shingles, x.component_id) for x in neardup.groups(spark, df, 3, 85).collect()} == {(1, len(sets[0]), 1), (2, len(sets[1]), 1)}
+    one = fingerprint.with_next(spark, df).orderBy("doc_id").collect()
+    assert one[0].n_chars == len(text) and one[0].near_next > 0.9
+    q = quality.judged(df).orderBy("row.doc_id").collect()
+    assert q[0].n_words == 200_000 and q[0].word_chars == sum(map(len, words))
+    assert langid.predict(df, langid.fit(spark, df)).where("lang_pred = 'en'").count() == 2
+    for name, run in (("byte_bpe_50k.json", lambda p: packing.pieces(df, p).groupBy("doc_id").agg(F.sum("length").alias("n"))), ("word_bpe_49k.json", lambda p: tokenbin.round_trip(spark, df, p).selectExpr("doc_id", "n_tokens AS n"))):
+        n = {x.doc_id: x.n for x in run(P.path(name)).collect()}
+        assert n[1] == len(encoder(P.path(name))([text])[0]) // 4 + 1
+    page = "<body><nav><a href=x>menu</a></nav><article>" + "".join(f"<p>{' '.join(words[k : k + 100])}</p>" for k in range(0, 200_000, 100)) + "</article></body>"
+    assert htmltext.extract(page) == "\n".join(" ".join(words[k : k + 100]) for k in range(0, 200_000, 100))
 
 
 def test_feistel_is_a_permutation(spark):
     df = spark.range(40).selectExpr("id div 8 as x", "id % 8 as y")
-    got = df.select(pii.feistel(F.col("x"), F.col("y"), F.lit(5).cast("bigint"), F.lit(8).cast("bigint"), "t").alias("s")).select("s.*").collect()
+    got = df.select(pii.feistel(F.col("x"), F.col("y"), F.lit(5).cast("bigint"), F.lit(8).cast("bigint"), "t", "k").alias("s")).select("s.*").collect()
     assert len({(r.x, r.y) for r in got}) == 40 and all(0 <= r.x < 5 and 0 <= r.y < 8 for r in got)
 
 
@@ -356,7 +535,7 @@ def test_pii_beside_other_characters(spark):
     cards = ["4111 1111 1111 1111 12/27", "4111111111111111 123", "4111 1111 1111 1111 737.", "12 4111 1111 1111 1111", "3782 822463 10005 4111 1111 1111 1111", "555-234-5678 4111 1111 1111 1111", "4111 1111 1111 1111 12ab", "123-45-6789 4111-1111-1111-1111"]
     ibans = ["GB82 WEST 1234 5698 7654 32", "FR14 2004 1010 0505 0001 3M02 606 PAID", "GB82WEST12345698765432", "AT61 1904 3002 3457 3201 EUR 500"]
     rows = [*cards, *ibans, "at 2024-01-05T10:00:00Z", "GB82 WEST 1234 5698 7654 33", "1234 5678 9012 3456 789x", "7 " * 3000 + "4111 1111 1111 1111"]
-    got = {r.text: r for r in pii.pseudonymized(spark.createDataFrame([(t,) for t in rows], "text string"), out="new").collect()}
+    got = {r.text: r for r in pii.pseudonymized(spark.createDataFrame([(t,) for t in rows], "text string"), out="new", key="k").collect()}
     for t in cards:
         new = got[t].new
         assert "card" in got[t].pii_kinds and re.sub("[0-9]", "9", new) == re.sub("[0-9]", "9", t)
@@ -377,13 +556,29 @@ def test_long_secrets(spark):
     r = random.Random(6)
     one = "".join(r.choice("abcXYZ019_-") for _ in range(20_000))
     rows = [f"token={v} end" for v in (one, one[:300], one[:300] + "q", one[:199])]
-    new = [x.new for x in pii.pseudonymized(spark.createDataFrame(list(enumerate(rows)), "i int, text string"), out="new").orderBy("i").collect()]
+    new = [x.new for x in pii.pseudonymized(spark.createDataFrame(list(enumerate(rows)), "i int, text string"), out="new", key="k").orderBy("i").collect()]
     for a, b in zip(rows, new, strict=True):
         assert len(a) == len(b) and b.startswith("token=") and b.endswith(" end")
         assert not any(a[k : k + 12] in b for k in range(6, len(a) - 16, 5))
     assert len({b[6:206] for b in new[:3]}) == 3 and new[0][6:70] != new[0][70:134]
 
 
+def test_html_density_decides():
+    story = "".join(f"<p>{'The story goes on and on here. ' * 8}</p>" for _ in range(3))
+    plain = "\n".join(["The story goes on and on here. " * 8] * 3).replace(" \n", "\n").strip()
+    links = "<ul>" + "<li><a href=x>Some other story's headline</a></li>" * 20 + "</ul>"
+    # the story in sibling articles, all of it
+    assert htmltext.extract(f"<body><main><article>{story}</article><article>{story}</article></main></body>") == plain + "\n" + plain
+    # a list of links in the main element beside the story stays out
+    assert htmltext.extract(f"<body><main><div>{links}</div><div>{story}</div></main></body>") == plain
+    # teasers that are links don't join the article
+    assert htmltext.extract(f"<body><article>{story}</article><article><a href=x>Another headline</a></article></body>") == plain
+    # a heading in the same article belongs to it; a paragraph with inline markup doesn't take its place
+    page = f"<body><article><h1>Title</h1>{story}<p>{'Very <b>bold</b> words and <i>more</i> of them. ' * 12}</p></article></body>"
+    assert htmltext.extract(page).startswith("Title\nThe story") and htmltext.extract(page).endswith("more of them.")
+    assert htmltext.extract("<body><p>one\u2003two\u2028three</p></body>") == "one two three"
+
+
 def test_html_names_of_wrappers():
     story = "<h1>Title</h1><p>" + "The story goes on and on. " * 10 + "</p><p>" + "And then it ends. " * 10 + "</p>"
     want = htmltext.extract(f"<body><div>{story}</div></body>")
