@@ -5,7 +5,7 @@ characters per tag, adjusted by the link shares. A block's density sum adds the
 own text; inline markup belongs to the text that it stands in. The main subtree is the block of greatest density sum, the
 outermost of equal ones. The least density on the path from it up to the body is the threshold: blocks beside it of its
 own tag, at least that dense and with less than a third of their text in links, belong to it, as do the enclosing article
-or main element if most of that one's text is in it. Menus, headers, footers, sidebars, notices, adverts,
+or main element if most of that one's text is in it and what isn't is not mostly links. Menus, headers, footers, sidebars, notices, adverts,
 forms, scripts, styles and reader comments are left out before and inside it.
 
 Null and empty pages, and pages without text, give the empty text. Markup that ends early is closed at its end; an
@@ -256,7 +256,7 @@ def main_nodes(root: Node) -> list[Node]:
     while path[-1] is not body and path[-1].up is not None:
         path.append(path[-1].up)
     for n in path[1:]:
-        if n.tag in ("article", "main") and 2 * best.chars > n.chars:
+        if n.tag in ("article", "main") and 2 * best.chars > n.chars and 2 * (n.link_chars - best.link_chars) <= n.chars - best.chars:
             best = n
     threshold = min(n.density for n in path)
     if best is body or best.up is None:
