@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Languages by extension.
@@ -13,8 +13,23 @@ LANGUAGES = {
     "ts": "typescript", "tsx": "typescript", "go": "go", "java": "java", "swift": "swift", "rs": "rust", "sh": "shell",
 }
 # Roles by a part of the lower-cased path, the first that holds.
-ROLES = [("fixture", ["fixture", "testdata", "golden"]), ("test", ["/tests/", "test_", "_test.", ".test.", ".spec."]), ("generated", ["generated", "_pb2.", ".gen."])]
-EXCLUDED = [".git", ".hg", ".svn", "__pycache__", "node_modules", ".venv", "venv", "env", "dist", "build", ".tox", ".mypy_cache", ".pytest_cache", ".ruff_cache", "site-packages", ".idea", ".vscode", "target", "vendor", "coverage"]
+ROLES = [
+    ("fixture", ["/fixtures/", "/snapshots/", "/mocks/"]),
+    ("test", ["/tests/", "/test/", "test_", "_test.py", "/conftest.py"]),
+    ("generated", ["/generated/", "/migrations/", "/alembic/"]),
+]
+# Parts of the path of test files, by language.
+TESTS = {
+    "python": ["test_", "_test.py"], "javascript": [".test.js", ".spec.js", "__tests__/"], "typescript": [".test.ts", ".spec.ts", "__tests__/"],
+    "go": ["_test.go"], "java": ["Test.java", "Tests.java", "/test/"], "swift": ["Tests.swift", "Test.swift", "/Tests/"],
+}
+# Folders that an audit leaves out, those that the maps leave out, and subtrees of the root.
+EXCLUDED = [
+    "__pycache__", ".git", ".venv", "venv", ".cortex", "node_modules", "libs", ".pytest_cache", "build", "dist", ".mypy_cache", ".ruff_cache", ".tox",
+    "site-packages", "dist-packages", ".eggs", ".next", ".claude", ".codex", ".prompt-engineer", ".a1",
+]
+MAP_EXCLUDED = [".git", "__pycache__", ".venv", "venv", "env", "node_modules", ".tox", "build", "dist", ".pytest_cache", ".mypy_cache", ".ruff_cache", "site-packages", "dist-packages", ".eggs", ".next", ".cortex", ".claude", ".codex", ".prompt-engineer", ".a1"]
+MAP_SUBTREES = ["SYSTEM/libs/", ".claude/", ".codex/"]
 
 
 def basename(path: Column) -> Column:
@@ -46,13 +61,38 @@ def role(path: Column) -> Column:
 
 
 def is_test(path: Column) -> Column:
-    b = basename(path)
-    return b.startswith("test_") | b.startswith("conftest") | b.rlike(r"_test\.[a-z]+$|\.(test|spec)\.[a-z]+$")
+    """A part of the path names a test file of its language; false for other languages."""
+    lang = language(path)
+    out = F.lit(False)
+    for name, parts in TESTS.items():
+        hit = F.lit(False)
+        for p in parts:
+            hit = hit | path.contains(p)
+        out = F.when(lang == name, hit).otherwise(out)
+    return out
+
+
+def is_generated(path: Column) -> Column:
+    return role(F.concat(F.lit("/"), path)) == "generated"
+
 
+def package_root(path: Column) -> Column:
+    """The first folder of a path; "src" and the like give the second, as the package stands in them."""
+    p = F.split(path, "/")
+    return F.when(F.size(p) < 2, F.lit(None)).when(p[0].isin("src", "lib", "python"), F.when(F.size(p) > 2, p[1])).otherwise(p[0])
 
-def wanted(path: Column) -> Column:
-    """No excluded folder on the way, and a known extension."""
-    return ~F.arrays_overlap(F.split(path, "/"), F.array(*[F.lit(x) for x in EXCLUDED])) & language(path).isNotNull()
+
+def wanted(path: Column, excluded: list[str] = EXCLUDED, subtrees: list[str] = [], roots: list[str] | None = None) -> Column:  # noqa: B006
+    """No excluded folder or subtree on the way, a known extension, and, where `roots` are given, under one of them."""
+    out = ~F.arrays_overlap(F.split(path, "/"), F.array(*[F.lit(x) for x in excluded])) & language(path).isNotNull()
+    for x in subtrees:
+        out = out & ~path.startswith(x)
+    return out if roots is None else out & F.split(path, "/")[0].isin(*roots)
+
+
+def in_maps(path: Column, roots: list[str] | None = None) -> Column:
+    """Files that the maps cover."""
+    return wanted(path, MAP_EXCLUDED, MAP_SUBTREES, roots)
 
 
 def glob_regex(glob: str) -> str:
@@ -73,3 +113,9 @@ def glob_regex(glob: str) -> str:
 
 def short_hash(n: int, *parts: Column) -> Column:
     return F.substring(F.sha2(F.concat_ws("|", *parts), 256), 1, n)
+
+
+def module_names(files: DataFrame) -> DataFrame:
+    """(path, module) of Python files: the dotted name from the root, and from below src, lib or python."""
+    p = files.where(F.col("path").endswith(".py")).select("path", F.regexp_replace(F.regexp_replace("path", r"(/__init__)?\.py$", ""), "/", ".").alias("module"))
+    return p.union(p.where(F.col("module").rlike(r"^(src|lib|python)\.")).select("path", F.regexp_replace("module", r"^(src|lib|python)\.", "")))

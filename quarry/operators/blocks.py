@@ -15,10 +15,12 @@ def meaningful(lines: DataFrame) -> DataFrame:
 
 
 def windows(lines: DataFrame, width: int) -> DataFrame:
-    """(path, k, line_no, hash) of every run of `width` meaningful lines."""
+    """(path, k, line_no, hash) of every run of `width` meaningful lines. Lines are hashed first, so that a window carries 16
+    bytes a line, not its text; the run's hash is that of its lines' hashes."""
     w = W.partitionBy("path").orderBy("k").rowsBetween(0, width - 1)
-    runs = meaningful(lines).withColumn("run", F.collect_list("s").over(w))
-    return runs.where(F.size("run") == width).select("path", "k", "line_no", F.sha2(F.array_join("run", "\n"), 256).alias("hash"))
+    kept = meaningful(lines).select("path", "k", "line_no", F.unhex(F.sha2("s", 256)).alias("h"))
+    runs = kept.withColumn("run", F.collect_list(F.substring("h", 1, 16)).over(w))
+    return runs.where(F.size("run") == width).select("path", "k", "line_no", F.md5(F.array_join(F.transform("run", lambda x: F.lower(F.hex(x))), "")).alias("hash"))
 
 
 def across_files(lines: DataFrame, width: int = 12) -> DataFrame:
@@ -27,6 +29,18 @@ def across_files(lines: DataFrame, width: int = 12) -> DataFrame:
     return w.groupBy("hash").agg(F.count("*").alias("n_files"), F.sum("n").alias("n_places"), F.min("path").alias("first_path")).where("n_files >= 2")
 
 
+def merged(lines: DataFrame, width: int = 12) -> DataFrame:
+    """(path, first_line, last_line, n_files): regions of a file made of runs that the same number of files share, the first of
+    these files being the same; runs that follow one another are one region. A region is given for its first file."""
+    w = windows(lines, width)
+    shared = across_files(lines, width).select("hash", "n_files", F.col("first_path").alias("path"))
+    own = w.join(shared, ["hash", "path"]).groupBy("path", "n_files", "k").agg(F.min("line_no").alias("line_no"))
+    island = own.withColumn("g", F.col("k") - F.row_number().over(W.partitionBy("path", "n_files").orderBy("k")))
+    found = island.groupBy("path", "n_files", "g").agg(F.min("line_no").alias("first_line"), F.max("k").alias("k"))
+    ends = meaningful(lines).select("path", (F.col("k") - (width - 1)).alias("k"), F.col("line_no").alias("last_line"))
+    return found.join(ends, ["path", "k"]).select("path", "first_line", "last_line", "n_files")
+
+
 def within_file(lines: DataFrame, width: int = 12) -> DataFrame:
     """Runs that stand twice or more in one file and nowhere else, with starts at least `width` apart: (path, hash, first_line, last_line, n)."""
     w = windows(lines, width)

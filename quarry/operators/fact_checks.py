@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import sys
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -13,14 +15,27 @@ FOUND = ["check_id", "path", "line_no", "detail", "severity", "impact"]
 # Fixed values of the checks.
 BROAD = ["Exception", "BaseException"]
 CONTROL_FLOW = ["KeyboardInterrupt", "BrokenPipeError", "GeneratorExit", "SystemExit", "StopIteration", "StopAsyncIteration", "CancelledError"]
-NEEDS_TIMEOUT = ["requests.get", "requests.post", "requests.put", "requests.delete", "requests.patch", "requests.head", "requests.request", "httpx.get", "httpx.post", "httpx.put", "httpx.delete", "urllib.request.urlopen", "urlopen", "subprocess.run", "subprocess.call", "subprocess.check_call", "subprocess.check_output", "socket.create_connection"]
+# Calls that need timeout=.
+NEEDS_TIMEOUT = [
+    "subprocess.run", "subprocess.Popen", "subprocess.call", "subprocess.check_call", "subprocess.check_output",
+    "requests.get", "requests.post", "requests.put", "requests.delete", "requests.patch", "requests.head", "requests.options", "requests.request",
+    "urllib.request.urlopen", "http.client.HTTPConnection", "http.client.HTTPSConnection", "sqlite3.connect", "socket.create_connection", "paramiko.SSHClient.connect", "paramiko.SSHClient.exec_command",
+]
 SUBPROCESS = ["subprocess.run", "subprocess.Popen", "subprocess.call", "subprocess.check_call", "subprocess.check_output"]
-RNG = "^(np\\.random\\.|numpy\\.random\\.|random\\.|torch\\.rand|tf\\.random)"
+RNG = "^(?:(?:np|numpy)\\.random\\.\\w+|random\\.(?:random|randint|randrange|choice|choices|shuffle|sample|uniform|gauss|normalvariate|betavariate|expovariate|triangular)|torch\\.rand\\w*|tf\\.random\\.\\w+)$"
 SEEDS = "(^|\\.)(seed|manual_seed|set_seed|default_rng|set_random_seed)$"
-REGISTER = ["atexit.register", "signal.signal", "add_handler", "addHandler", "register", "subscribe", "connect", "add_listener"]
-BUILTINS = "list dict set str int float bool bytes type id input open file map filter sum min max len range all any next iter hash format dir vars object tuple print sorted zip".split()
+# Registrations, by the end of the call's dotted name.
+REGISTER = ["atexit.register", "signal.signal", "scheduler.add", "scheduler.add_job", "schedule.every", "EventEmitter.on", "subscribe", "add_listener"]
+BUILTINS = (
+    "list dict set tuple str int float bool type id input print len range map filter open hash any all min max sum sorted next iter super format zip enumerate abs"
+    " round bytes object dir vars chr ord hex oct bin pow repr callable isinstance issubclass getattr setattr hasattr property classmethod staticmethod frozenset"
+    " compile eval exec globals locals breakpoint complex bytearray memoryview slice reversed"
+).split()
 DANGEROUS = ["eval", "exec", "os.system", "pickle.loads", "pickle.load", "marshal.loads", "yaml.load"]
-UNSAFE_TRUE, UNSAFE_FALSE = "^(allow_unsafe|debug|trust_env|unsafe_.*)$", "^(verify_ssl|check_certs)$"
+#: Methods of numpy's and Python's generators that draw numbers.
+EXPENSIVE = r"^(re\.compile|subprocess\.|requests\.|open$)"
+STDLIB = sorted(sys.stdlib_module_names)
+REASON = r"(?i)#.*(circular|lazy|optional|avoid|heavy|noqa|cycle|defer|startup|import cost)"
 
 
 def attr(name: str) -> Column:
@@ -60,13 +75,29 @@ def handlers(facts: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
+def expensive_loops(facts: DataFrame, roots: list[str]) -> DataFrame:
+    """performance.expensive_in_loop: expensive calls in loops of files under sensitive roots; none are sensitive unless named."""
+    c = _of(facts, "call").where((attr("loops").cast("int") > 0) & F.col("name").rlike(EXPENSIVE))
+    here = reduce(lambda a, b: a | b, [F.col("path").startswith(r) for r in roots], F.lit(False))
+    return _found(c.where(here), "performance.expensive_in_loop", F.col("name"), "MEDIUM")
+
+
+def local_hits(facts: DataFrame) -> DataFrame:
+    """What the rules over one function or file found."""
+    h = _of(facts, "hit")
+    return h.select(F.col("name").alias("check_id"), "path", F.col("line").alias("line_no"), attr("detail").alias("detail"), attr("severity").alias("severity"), attr("impact").alias("impact"))
+
+
+def too_deep(facts: DataFrame) -> DataFrame:
+    """Meta findings of files that could not be read as a tree: one file's failure is one row."""
+    return _found(_of(facts, "too_deep"), "meta.too_deep", F.col("name"), "HIGH")
+
+
 def calls(facts: DataFrame) -> DataFrame:
     """Security, reliability, encoding, ML and print checks of calls."""
-    c = _of(facts, "call").withColumn("last", F.element_at(F.split("name", r"\."), -1))
-    sql = "(?i)(select .+ from|insert into|update .+ set|delete from|drop table|create table|alter table)"
-    test_arg = F.lower(attr("first")).rlike("test|val|valid|holdout|oot")
+    c = _of(facts, "call").where(F.col("path").rlike(r"\.pyi?$")).withColumn("last", F.element_at(F.split("name", r"\."), -1))
     parts = [
-        _found(c.where(F.col("last").isin("execute", "executemany", "query", "raw") & (attr("built") == "True") & attr("first").rlike(sql)), "security_scan", F.concat(F.lit("dynamic SQL in "), "name"), "CRITICAL", "BLOCK"),
+        _found(c.where(F.col("last").isin("execute", "executemany", "query", "raw") & yes("sql")), "security_scan", F.concat(F.lit("dynamic SQL in "), "name"), "CRITICAL", "BLOCK"),
         _found(c.where(F.col("name").isin(*DANGEROUS) & ~((F.col("name") == "yaml.load") & F.array_contains("items", "Loader"))), "security_scan", F.concat(F.lit("dangerous call "), "name"), "HIGH"),
         _found(c.where(F.col("name").isin(*SUBPROCESS) & attr("true").contains("shell")), "security_scan", F.lit("shell=True"), "HIGH"),
         _found(c.where(F.col("name").isin(*SUBPROCESS) & attr("true").contains("shell") & (attr("built") == "True")), "security.command_injection", F.col("name"), "CRITICAL", "BLOCK"),
@@ -74,13 +105,13 @@ def calls(facts: DataFrame) -> DataFrame:
         _found(c.where(F.col("name").isin(*NEEDS_TIMEOUT) & ~F.array_contains("items", "timeout")), "reliability.blocking_call_missing_timeout", F.col("name"), "MEDIUM"),
         _found(c.where((F.col("last") == "shift") & (attr("negative") == "True")), "ml.lookahead_negative_shift", attr("first"), "HIGH"),
         _found(c.where((F.col("last") == "train_test_split") & ~F.array_contains("items", "random_state")), "ml.nondeterministic_split", F.col("name"), "MEDIUM"),
-        _found(c.where(F.col("last").isin("fit", "fit_transform") & test_arg), "ml.scaler_fit_on_test", attr("first"), "HIGH"),
+        _found(c.where(F.col("last").isin("fit", "fit_transform") & yes("held_out")), "ml.scaler_fit_on_test", attr("first"), "HIGH"),
         _found(c.where((F.col("name") == "print") & (F.col("scope") != "main") & ~paths.is_test(F.col("path")) & ~F.lower("path").rlike("cli|__main__")), "debug_print_scan", F.col("scope"), "LOW", "WARN"),
-        _found(c.where((attr("loops").cast("int") > 0) & F.col("name").rlike("^(re\\.compile|subprocess\\.|requests\\.|open$)")), "performance.expensive_in_loop", F.col("name"), "MEDIUM"),
     ]
     seeded = c.where(F.col("name").rlike(SEEDS) | F.array_contains("items", "random_state") | F.array_contains("items", "seed")).select("path").distinct()
     rng = c.where(F.col("name").rlike(RNG) & ~F.col("name").rlike(SEEDS)).groupBy("path").agg(F.min("line").alias("line"), F.min("name").alias("name")).join(seeded, "path", "left_anti")
-    twice = c.where(F.col("name").isin(*REGISTER) & (attr("at_module") == "True")).groupBy("path", "name").agg(F.max("line").alias("line"), F.count("*").alias("n")).where("n >= 2")
+    kind = F.array_compact(F.array(*[F.when((F.col("name") == r) | F.col("name").endswith("." + r), F.lit(r)) for r in REGISTER]))
+    twice = c.withColumn("kind", F.get(kind, F.lit(0))).where("kind IS NOT NULL").groupBy("path", F.col("kind").alias("name")).agg(F.max("line").alias("line"), F.count("*").alias("n")).where("n >= 2")
     asyncs = _of(facts, "function").where(yes("is_async")).select("path", "name").distinct()
     syncs = _of(facts, "function").where(~yes("is_async")).select("path", "name").distinct()
     alone = asyncs.join(syncs, ["path", "name"], "left_anti")
@@ -95,16 +126,17 @@ def calls(facts: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-def functions(facts: DataFrame) -> DataFrame:
-    """Size, hints, defaults, tests and reachability."""
+def functions(facts: DataFrame, limits: dict | None = None) -> DataFrame:
+    """Size, hints, defaults, tests and reachability. limits: the profile's thresholds."""
+    lim = {"function_warn": 100, "function_revise": 150, "nesting_warn": 5, "nesting_revise": 8, **(limits or {})}
     f = _of(facts, "function")
     tests = f.where(F.col("name").startswith("test") & paths.is_test(F.col("path")))
     n = attr("n_asserts").cast("int")
     public = f.where(~F.col("name").startswith("_") & ~yes("nested") & ~paths.is_test(F.col("path")))
     from quarry.operators import size
 
-    big = size.function_sizes(f.select("path", "name", F.col("line").alias("start_line"), "end_line"))
-    deep = size.nesting(_of(facts, "depth").select("path", "line", F.col("name").cast("int").alias("depth")))
+    big = size.function_sizes(f.select("path", "name", F.col("line").alias("start_line"), "end_line"), lim["function_warn"], lim["function_revise"])
+    deep = size.nesting(_of(facts, "depth").select("path", attr("line").cast("int").alias("line"), F.col("name").cast("int").alias("depth")), lim["nesting_warn"], lim["nesting_revise"])
     modules = facts.select("path").distinct().where(paths.is_test(F.col("path")) & paths.basename(F.col("path")).startswith("test_"))
     parts = [
         _found(_of(facts, "mutable_default"), "mutable_default_scan", F.col("name"), "MEDIUM"),
@@ -116,9 +148,8 @@ def functions(facts: DataFrame) -> DataFrame:
         _found(modules.join(tests.select("path"), "path", "left_anti").withColumn("line", F.lit(1)), "empty_test_module", F.lit("no test function"), "MEDIUM"),
         _found(big.withColumn("line", F.col("start_line")), F.concat(F.lit("size."), "size_class"), F.col("name"), "MEDIUM"),
         _found(deep, F.concat(F.lit("size."), "size_class"), F.col("depth").cast("string"), "MEDIUM"),
-        _found(_of(facts, "syntax_error"), "syntax_validity.parse_error", F.col("name"), "CRITICAL", "BLOCK"),
-        _found(_of(facts, "assign").where(F.col("name").isin(*BUILTINS)), "shadowed_builtin_scan", F.col("name"), "LOW", "WARN"),
-        _found(f.select("path", "line", F.explode("items").alias("p")).where(F.col("p").isin(*BUILTINS)), "shadowed_builtin_scan", F.col("p"), "LOW", "WARN"),
+        _found(_of(facts, "syntax_error").where(F.col("path").rlike(r"\.pyi?$")), "syntax_validity.parse_error", F.col("name"), "CRITICAL", "BLOCK"),
+        _found(_of(facts, "bound").where(F.col("name").isin(*BUILTINS)), "shadowed_builtin_scan", F.col("name"), "LOW", "WARN"),
     ]
     masks = _of(facts, "decorator")
     kinds = [("mark_skip_unconditional", masks.where(F.col("name").endswith("mark.skip"))), ("xfail_missing_strict", masks.where(F.col("name").endswith("mark.xfail") & ~attr("attrs_text").contains("strict"))), ("xfail_non_strict", masks.where(F.col("name").endswith("mark.xfail") & attr("attrs_text").contains("strict=False"))), ("mark_skipif_literal_true", masks.where(F.col("name").endswith("mark.skipif") & attr("attrs_text").contains("skipif(True")))]
@@ -145,9 +176,13 @@ def names(facts: DataFrame, lines: DataFrame) -> DataFrame:
     assign = _of(facts, "assign")
     once = assign.groupBy("path", "name").agg(F.count("*").alias("n")).where("n = 1").drop("n")
     stuck = assign.where((attr("at_module") == "True") & (attr("value") == "False") & F.col("name").rlike("^[A-Z][A-Z0-9_]*$")).join(once, ["path", "name"]).join(_of(facts, "tested").select("path", "name").distinct(), ["path", "name"], "left_semi")
-    risky = assign.where((F.lower("name").rlike(UNSAFE_TRUE) & (attr("value") == "True")) | (F.lower("name").rlike(UNSAFE_FALSE) & (attr("value") == "False")))
     guards = _of(facts, "handler").where(yes("bare") | F.col("name").contains("KeyError")).select("path", "scope").distinct()
-    env = _of(facts, "env").where(attr("guarded") == "False").join(guards, ["path", "scope"], "left_anti")
+    asked = _of(facts, "env_asked").select("path", "scope", "name").distinct()
+    env = _of(facts, "env").where(attr("guarded") == "False").join(guards, ["path", "scope"], "left_anti").join(asked, ["path", "scope", "name"], "left_anti")
+    # A reason beside the import, or on the line above, excuses it.
+    reason = lines.where(F.col("line").rlike(REASON)).select("path", F.explode(F.array("line_no", F.col("line_no") + 1)).alias("line")).distinct()
+    top = F.element_at(F.split("name", r"\."), 1)
+    inner = _of(facts, "import").where((attr("in_function") == "True") & attr("kind").isin("import", "from") & top.isin(*STDLIB)).join(reason, ["path", "line"], "left_anti")
     return reduce(
         DataFrame.unionByName,
         [
@@ -155,18 +190,108 @@ def names(facts: DataFrame, lines: DataFrame) -> DataFrame:
             _found(dead, "dead_code_scan", F.col("name"), "LOW", "WARN"),
             _found(missing, "export_completeness.missing_symbol", F.col("name"), "HIGH", "BLOCK"),
             _found(stuck, "stuck_feature_flag", F.col("name"), "MEDIUM"),
-            _found(risky, "config.dangerous_default", F.col("name"), "HIGH"),
             _found(env, "config.missing_env_var_check", F.col("name"), "MEDIUM"),
-            _found(_of(facts, "import").where((attr("in_function") == "True") & (attr("kind") != "dynamic") & F.col("name").rlike("^(os|sys|re|json|time|math|random|shutil|pathlib|subprocess|datetime|logging|collections|itertools|functools)$")), "imports_in_function.stdlib", F.col("name"), "LOW", "WARN"),
+            _found(inner, "imports_in_function.stdlib", F.col("name"), "LOW", "WARN"),
         ],
     )
 
 
+# Names that say what a write is for.
+STATE_LIKE, PERSISTS, INIT_LIKE = "(?i)state|status|cache|config|manifest|registry|index|session|lock|db|store", "(?i)save|persist|commit|store|checkpoint|flush|dump", "(?i)init|setup|bootstrap|install|migrate|scaffold"
+UNIQUE = "(?i)uuid|tempfile|mkstemp|mkdtemp|NamedTemporary|tmp_path|time_ns|getpid|timestamp"
+
+
 def writes(facts: DataFrame) -> DataFrame:
-    """atomic_write_safety: writes without a replace in the same function."""
+    """atomic_write_safety: writes without a replace in the same function. A literal target that no file reads gives none,
+    one that only its own file reads LOW, one that others read MEDIUM; another target by the names it goes by, none if it is
+    unique to the call; MEDIUM in functions that set up falls to LOW."""
     w = _of(facts, "write")
     safe = w.where(attr("kind").isin("os.replace", "os.rename")).select("path", "scope").distinct()
-    return _found(w.where(~attr("kind").isin("os.replace", "os.rename", "json.dump")).join(safe, ["path", "scope"], "left_anti"), "atomic_write_safety.missing_tmpfile_rename", F.coalesce(F.nullif("name", F.lit("")), attr("hint")), "LOW", "WARN")
+    bare = w.where(~attr("kind").isin("os.replace", "os.rename", "json.dump")).join(safe, ["path", "scope"], "left_anti")
+    read = _of(facts, "read").where("name <> ''").select(F.col("name"), F.col("path").alias("reader")).distinct()
+    per = read.groupBy("name").agg(F.count("*").alias("readers"))
+    j = bare.join(per, "name", "left").join(read.withColumn("own", F.lit(1)).withColumnRenamed("reader", "path"), ["name", "path"], "left")
+    hint, function = attr("hint"), F.element_at(F.split("scope", r"\."), -1)
+    literal = F.when(F.col("readers").isNull(), None).when(F.col("readers") - F.coalesce("own", F.lit(0)) > 0, "MEDIUM").otherwise("LOW")
+    other = F.when(hint.rlike(UNIQUE), None).when(hint.rlike(STATE_LIKE) | function.rlike(PERSISTS), "MEDIUM").otherwise("LOW")
+    graded = j.withColumn("sev", F.when(F.col("name") != "", literal).otherwise(other)).where("sev IS NOT NULL").withColumn("sev", F.when((F.col("sev") == "MEDIUM") & function.rlike(INIT_LIKE), "LOW").otherwise(F.col("sev")))
+    made = graded.select(F.lit("atomic_write_safety.missing_tmpfile_rename").alias("check_id"), "path", F.col("line").alias("line_no"), F.coalesce(F.nullif("name", F.lit("")), hint).alias("detail"), F.col("sev").alias("severity"))
+    return made.withColumn("impact", F.when(F.col("severity") == "MEDIUM", "REVISE").otherwise("WARN"))
+
+
+def imported_names(facts: DataFrame, files: DataFrame) -> DataFrame:
+    """hallucination.import_not_found: a name taken from a module of the tree that the module neither defines nor imports
+    and that is no module below it."""
+    whole = paths.module_names(files.select("path"))
+    member = _of(facts, "import").where((attr("kind") == "member") & ~F.col("name").startswith(".")).select("path", "line", "name", F.regexp_replace("name", r"\.[^.]*$", "").alias("module"), F.element_at(F.split("name", r"\."), -1).alias("taken"))
+    known = member.join(whole.select("module", F.col("path").alias("of")), "module")
+    has = (
+        _of(facts, "bound").where("scope = ''").select(F.col("path").alias("of"), F.col("name").alias("taken"))
+        .union(_of(facts, "symbol").where("scope = ''").select(F.col("path").alias("of"), F.col("name").alias("taken")))
+        .union(_of(facts, "import").select(F.col("path").alias("of"), attr("bound").alias("taken")))
+        .distinct()
+    )
+    open_ = _of(facts, "star").select(F.col("path").alias("of")).union(facts.where("fact IN ('syntax_error', 'too_deep')").select(F.col("path").alias("of"))).distinct()
+    lost = known.join(has, ["of", "taken"], "left_anti").join(open_, "of", "left_anti").join(whole.select(F.col("module").alias("name")), "name", "left_anti")
+    return _found(lost, "hallucination.import_not_found", F.col("name"), "MEDIUM")
+
+
+def project_tests(facts: DataFrame, files: DataFrame) -> DataFrame:
+    """test_quality.no_project_imports: test files with tests that import nothing of the tree's packages; and
+    simulated_instead_of_executed_test: tests that import from them but call only their own functions."""
+    roots = files.select(paths.package_root(F.col("path")).alias("root")).where("root IS NOT NULL").distinct()
+    used = _of(facts, "import").select("path", "scope", attr("bound").alias("bound"), F.element_at(F.split("name", r"\."), 1).alias("root")).join(roots, "root")
+    tests = _of(facts, "function").where(F.col("name").startswith("test_") & paths.is_test(F.col("path"))).select("path").distinct()
+    some = roots.limit(1).select(F.lit(True).alias("some"))
+    alone = tests.join(used.select("path").distinct(), "path", "left_anti").join(F.broadcast(some)).withColumn("line", F.lit(1))
+    own = _of(facts, "simulated")
+    called = own.select("path", "line", "name", F.explode("items").alias("bound"))
+    real = called.join(used.where("bound <> ''").select("path", "bound").distinct(), ["path", "bound"]).select("path", "line").distinct()
+    only = own.join(used.select("path").distinct(), "path", "left_semi").join(real, ["path", "line"], "left_anti")
+    return _found(alone, "test_quality.no_project_imports", F.lit("no import of the project"), "HIGH").unionByName(_found(only, "simulated_instead_of_executed_test", F.concat_ws(": ", "name", attr("own")), "MEDIUM"))
+
+
+def same_functions(facts: DataFrame, touched: DataFrame | None = None) -> DataFrame:
+    """duplication.normalized_function: functions whose normal form another file's function has; with `touched` (path), those
+    of touched files equal to one of an untouched file, and cross_touched_duplicate between touched ones. One row for each
+    function, naming the first other file, so equal copies cost no pairs."""
+    n = _of(facts, "normal").where(~paths.is_test(F.col("path"))).select("path", "line", "name", attr("hash").alias("hash"))
+    if touched is None:
+        n = n.withColumn("t", F.lit(False))
+    else:
+        n = n.join(touched.select("path").distinct().withColumn("t", F.lit(True)), "path", "left").fillna({"t": False})
+    # The two least files of each hash and side: one of them is another file than the row's.
+    per = n.select("hash", "t", "path").distinct().groupBy("hash", "t").agg(F.min("path").alias("a"), F.max("path").alias("b"), F.count("*").alias("k"))
+    other = lambda side: per.where(F.col("t") == side).select("hash", "a", "b", "k")
+    named = F.when(F.col("a") != F.col("path"), F.col("a")).otherwise(F.col("b"))
+    if touched is None:
+        hit = n.join(other(False), "hash").where("k >= 2").withColumn("other", named)
+        return _found(hit, "duplication.normalized_function", F.concat_ws(" = ", "name", "other"), "MEDIUM")
+    old = n.where("t").join(other(False), "hash").withColumn("other", named)
+    both = n.where("t").join(other(True), "hash").where("k >= 2").withColumn("other", named)
+    return _found(old, "duplication.normalized_function", F.concat_ws(" = ", "name", "other"), "HIGH").unionByName(_found(both, "duplication.cross_touched_duplicate", F.concat_ws(" = ", "name", "other"), "MEDIUM"))
+
+
+def new_writers(now: DataFrame, before: DataFrame) -> DataFrame:
+    """illegal_authority_writer: files that had no function named like a writer and now have one."""
+    writer = F.col("name").rlike("^(write|save|commit|delete|persist)_")
+    old = before.select("path").distinct().join(_of(before, "function").where(writer).select("path").distinct(), "path", "left_anti")
+    new = _of(now, "function").where(writer).groupBy("path").agg(F.min("line").alias("line"), F.min_by("name", "line").alias("name"))
+    return _found(new.join(old, "path"), "illegal_authority_writer.new_writer_in_readonly_module", F.col("name"), "MEDIUM")
+
+
+def import_order(now: DataFrame, before: DataFrame) -> DataFrame:
+    """init_order_regression: imports of an __init__.py that went, or that changed their order."""
+
+    def ordered(f: DataFrame, name: str) -> DataFrame:
+        i = _of(f, "import").where(paths.basename(F.col("path")) == "__init__.py").where(attr("kind").isin("import", "from")).groupBy("path", "name").agg(F.min("line").alias("line"))
+        return i.groupBy("path").agg(F.transform(F.array_sort(F.collect_list(F.struct("line", "name"))), lambda x: x["name"]).alias(name))
+
+    j = ordered(before, "old").join(ordered(now, "new"), "path", "left").withColumn("new", F.coalesce("new", F.array().cast("array<string>")))
+    gone = F.size(F.array_except("old", "new"))
+    moved = F.filter("old", lambda x: F.array_contains("new", x)) != F.filter("new", lambda x: F.array_contains("old", x))
+    bad = j.where((gone > 0) | moved).withColumn("line", F.lit(1))
+    return _found(bad, "init_order_regression.import_order_changed", F.concat_ws(" ", gone.cast("string"), F.lit("gone"), F.when(moved, "order changed")), "MEDIUM")
 
 
 def against_previous(now: DataFrame, before: DataFrame) -> DataFrame:
@@ -187,5 +312,9 @@ def against_previous(now: DataFrame, before: DataFrame) -> DataFrame:
     return drift.unionByName(_found(gone, "api.public_function_signature_change", F.concat(F.col("name"), F.lit(": "), F.array_join("lost", ",")), "HIGH"))
 
 
-def all_checks(facts: DataFrame, lines: DataFrame) -> DataFrame:
-    return reduce(DataFrame.unionByName, [handlers(facts), calls(facts), functions(facts), names(facts, lines), writes(facts)])
+def groups(facts: DataFrame, lines: DataFrame, files: DataFrame) -> dict[str, Callable[[], DataFrame]]:
+    """The checks over one version of a tree, in groups."""
+    return {
+        "handlers": lambda: handlers(facts), "calls": lambda: calls(facts), "functions": lambda: functions(facts), "names": lambda: names(facts, lines), "writes": lambda: writes(facts), "local": lambda: local_hits(facts),
+        "too_deep": lambda: too_deep(facts), "imported_names": lambda: imported_names(facts, files), "project_tests": lambda: project_tests(facts, files), "same_functions": lambda: same_functions(facts),
+    }

@@ -8,14 +8,6 @@ from pyspark.sql import functions as F
 from quarry.functions import paths
 
 
-def sharing_pairs(owned: DataFrame, least: int = 3) -> DataFrame:
-    """(left_id, right_id, shared) of owners that share `least` markers or more; owned: distinct (owner, marker).
-    The join is by marker, and pairs are counted map-side before they move."""
-    a = owned.select(F.col("owner").alias("left_id"), "marker")
-    b = owned.select(F.col("owner").alias("right_id"), "marker")
-    return a.join(b, "marker").where("left_id < right_id").groupBy("left_id", "right_id").agg(F.count("*").alias("shared")).where(F.col("shared") >= least)
-
-
 def shared_targets(writes: DataFrame) -> DataFrame:
     """(target, n_writers, n_roots) with two writers from two roots or more. Writers are made distinct first."""
     w = writes.groupBy("target", "writer").agg(F.min("root").alias("root"))
@@ -45,10 +37,19 @@ def field_drift(before: DataFrame, after: DataFrame, keys: list[str]) -> DataFra
 
 def near_names(names: DataFrame, least: int = 6, share: float = 0.3) -> DataFrame:
     """(name, other, distance) of names alike but for `share` of the longer one's letters, plurals left out. names are
-    the distinct public names of a code base; only names whose lengths differ by two at most are paired."""
-    n = names.where(F.length("name") >= least)
-    a = n.select("name", F.length("name").alias("len"), F.explode(F.sequence(F.length("name") - 2, F.length("name") + 2)).alias("l"))
-    b = n.select(F.col("name").alias("other"), F.length("name").alias("l"))
-    pairs = a.join(b, "l").where("name < other").withColumn("distance", F.levenshtein("name", "other"))
-    close = F.col("distance") <= share * F.greatest("len", F.length("other"))
+    the distinct public names of a code base; only names whose lengths differ by two at most are paired.
+
+    With at most k edits one of k + 1 pieces of the shorter name stands in the longer one, moved by k places at most: names
+    meet by such a piece and the longer one's length, not all names of a length."""
+    n = names.where(F.length("name") >= least).withColumn("len", F.length("name"))
+    k = F.floor((F.col("len") + 2) * share).cast("int")
+    cut = lambda i: F.floor(F.col("len") * i / (k + 1)).cast("int")
+    pieces = F.transform(F.sequence(F.lit(0), k), lambda i: F.struct((cut(i) + 1).alias("at"), F.substring("name", cut(i) + 1, cut(i + 1) - cut(i)).alias("g")))
+    a = n.select("name", "len", k.alias("k"), F.explode(pieces).alias("p")).select("name", "k", "p.at", "p.g", F.explode(F.sequence("len", F.col("len") + 2)).alias("l"))
+    size = F.array(*[F.lit(i) for i in range(1, 6)])
+    grams = F.flatten(F.transform(size, lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.col("len") - w + 1, F.lit(1))), lambda i: F.struct(i.alias("pos"), F.substring("name", i, w).alias("g")))))
+    b = n.select(F.col("name").alias("other"), F.col("len").alias("l"), F.explode(F.array_distinct(grams)).alias("q")).select("other", "l", "q.pos", "q.g")
+    met = a.join(b, ["g", "l"]).where((F.abs(F.col("at") - F.col("pos")) <= F.col("k")) & (F.col("name") != F.col("other")))
+    pairs = met.select(F.least("name", "other").alias("name"), F.greatest("name", "other").alias("other")).distinct().withColumn("distance", F.levenshtein("name", "other"))
+    close = F.col("distance") <= share * F.greatest(F.length("name"), F.length("other"))
     return pairs.where(close & (F.concat("name", F.lit("s")) != F.col("other")) & (F.concat("other", F.lit("s")) != F.col("name"))).select("name", "other", "distance")

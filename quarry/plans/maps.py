@@ -15,15 +15,18 @@ from pyspark.sql import functions as F
 from quarry.functions import paths
 from quarry.operators import graph, report, structure
 from quarry.operators.fact_checks import _of, attr
+from quarry.sources import other_languages
 
 LARGE, FAN_IN, FAN_OUT = 1200, 10, 15
+#: Definitions that a contract's row lists; n_variants counts all.
+VARIANTS = 1000
 #: Most open conflicts that make sense; more are an error.
 MOST_CONFLICTS = 500
 
 
 def resolve_imports(facts: DataFrame, files: DataFrame) -> DataFrame:
     """(src, dst) of imports that name a file of the tree: a/b.py, else a/b/__init__.py; leading dots go up from the importer."""
-    i = _of(facts, "import").where(attr("kind") != "dynamic").select(F.col("path").alias("src"), "name").distinct()
+    i = _of(facts, "import").where((attr("kind") != "dynamic") & F.col("path").rlike(r"\.pyi?$")).select(F.col("path").alias("src"), "name").distinct()
     dots = F.length(F.regexp_extract("name", r"^\.+", 0))
     folder = F.slice(F.split("src", "/"), 1, F.greatest(F.size(F.split("src", "/")) - F.greatest(dots, F.lit(1)), F.lit(0)))
     rest = F.regexp_replace(F.regexp_replace("name", r"^\.+", ""), r"\.", "/")
@@ -31,7 +34,9 @@ def resolve_imports(facts: DataFrame, files: DataFrame) -> DataFrame:
     base = F.regexp_replace(base, "^/", "")
     tries = i.select("src", "name", F.posexplode(F.array(F.concat(base, F.lit(".py")), F.concat(base, F.lit("/__init__.py")))).alias("pos", "dst"))
     hit = tries.join(files.select(F.col("path").alias("dst")), "dst")
-    return hit.groupBy("src", "name").agg(F.min_by("dst", "pos").alias("dst")).where("src <> dst").select("src", "dst").distinct()
+    python = hit.groupBy("src", "name").agg(F.min_by("dst", "pos").alias("dst")).where("src <> dst").select("src", "dst")
+    scripts = other_languages.resolve_relative(_of(facts, "import").where(paths.language(F.col("path")).isin("javascript", "typescript")).select("path", "name"), files)
+    return python.union(scripts.where("src <> dst")).distinct()
 
 
 def structural(spark: SparkSession, files: DataFrame, facts: DataFrame) -> DataFrame:
@@ -84,7 +89,11 @@ def traced(nodes: DataFrame, events: DataFrame) -> DataFrame:
 def contracts(facts: DataFrame) -> DataFrame:
     """Entities by name: the canonical definition (smallest path), variants, writers, readers, drift flags."""
     c = _of(facts, "contract").select(F.col("name").alias("entity"), "path", F.map_from_entries(F.transform("items", lambda x: F.struct(F.split_part(x, F.lit(":"), F.lit(1)), F.regexp_replace(x, "^[^:]*:", "")))).alias("shape"))
-    first = c.groupBy("entity").agg(F.min("path").alias("canonical_path"), F.min_by("shape", "path").alias("canonical"), F.array_sort(F.collect_list(F.struct("path", F.to_json("shape").alias("shape")))).alias("variants"))
+    # A name that very many files define keeps its first VARIANTS definitions in the row; drift is found for all of them.
+    ranked = c.withColumn("nth", F.row_number().over(W.partitionBy("entity").orderBy("path")))
+    first = c.groupBy("entity").agg(F.min("path").alias("canonical_path"), F.min_by("shape", "path").alias("canonical"), F.count("*").alias("n_variants"))
+    listed = ranked.where(F.col("nth") <= VARIANTS).groupBy("entity").agg(F.array_sort(F.collect_list(F.struct("path", F.to_json("shape").alias("shape")))).alias("variants"))
+    first = first.join(listed, "entity")
     v = c.join(first.select("entity", "canonical_path", "canonical"), "entity").where("path <> canonical_path")
     extra, missing = F.array_except(F.map_keys("shape"), F.map_keys("canonical")), F.array_except(F.map_keys("canonical"), F.map_keys("shape"))
     other = F.filter(F.array_intersect(F.map_keys("shape"), F.map_keys("canonical")), lambda k: F.col("shape")[k] != F.col("canonical")[k])
@@ -95,11 +104,11 @@ def contracts(facts: DataFrame) -> DataFrame:
     readers = _of(facts, "import").where(attr("kind") == "member").select(F.element_at(F.split("name", r"\."), -1).alias("entity"), "path").join(names, "entity").groupBy("entity").agg(F.array_sort(F.collect_set("path")).alias("readers"))
     none = F.array().cast("array<string>")
     j = first.join(flags, "entity", "left").join(writers, "entity", "left").join(readers, "entity", "left")
-    return j.select("entity", "canonical_path", F.to_json("canonical").alias("canonical_schema"), "variants", *[F.coalesce(x, none).alias(x) for x in ("writers", "readers", "drift_flags")])
+    return j.select("entity", "canonical_path", F.to_json("canonical").alias("canonical_schema"), "variants", "n_variants", *[F.coalesce(x, none).alias(x) for x in ("writers", "readers", "drift_flags")])
 
 
 def normal_target(col: str) -> Column:
-    return F.regexp_replace(F.regexp_replace(col, r"\.[0-9a-f]{8,}\.tmp$", ""), r"\.(tmp|bak|backup|temp)$", "")
+    return F.regexp_replace(F.regexp_replace(col, r"[.-][0-9a-f]{8,}(?:-[0-9a-f]{4,})*\.tmp$", ""), r"\.(tmp|bak|backup|temp)$", "")
 
 
 def authority(facts: DataFrame, seed: list[dict] | None = None) -> DataFrame:
@@ -128,7 +137,6 @@ def conflicts(spark: SparkSession, s: DataFrame, r: DataFrame, c: DataFrame, a:
     """(conflict_id, domain, subject, severity, files, conflict_status) by seven rules, the first of equal ids kept."""
     none = F.array().cast("array<string>")
     illegal = a.where("kind = 'illegal_write'")
-    nodes = r.groupBy(F.col("defined_in").alias("writer")).agg(F.count("*").alias("n_nodes"))
     prod = F.col("role") == "production"
     shared = a.where("kind = 'shared_write'").groupBy("authority_domain", "target").agg(F.array_sort(F.collect_set("writer")).alias("files"), F.max(prod).alias("prod"), F.count("*").alias("n")).where("n >= 2")
     owners = a.where("kind = 'canonical_write'").select("authority_domain", F.col("writer").alias("owner")).distinct()
@@ -140,7 +148,7 @@ def conflicts(spark: SparkSession, s: DataFrame, r: DataFrame, c: DataFrame, a:
     loose = variants.join(imports.withColumnRenamed("path", "canonical_path"), ["canonical_path", "importer"], "left_anti")
     row = lambda df, domain, subject, severity, files: df.select(domain.alias("domain"), subject.alias("subject"), severity.alias("severity"), files.alias("files"))
     rules = [
-        row(illegal.join(nodes, "writer", "left"), F.col("authority_domain"), F.concat_ws("::", "authority_domain", "writer"), F.lit("high"), F.array("writer")),
+        row(illegal, F.col("authority_domain"), F.concat_ws("::", "authority_domain", "writer"), F.lit("high"), F.array("writer")),
         row(illegal.join(owners, "authority_domain").join(edges, ["owner", "writer"]), F.concat("authority_domain", F.lit(":structural")), F.concat_ws("::", "authority_domain", "writer"), F.lit("medium"), F.array("owner", "writer")),
         row(shared, F.lit("shared_write"), F.concat_ws("::", "authority_domain", "target"), F.when(F.col("prod"), "medium").otherwise("low"), F.col("files")),
         row(loose, F.lit("contract_structural"), F.concat_ws("::", "entity", "importer"), F.lit("medium"), F.array("importer", "canonical_path")),
@@ -171,9 +179,12 @@ def hotspots(s: DataFrame, r: DataFrame, c: DataFrame, a: DataFrame, conf: DataF
     j = s.select(F.col("file").alias("target"), F.least(F.lit(20), F.aggregate("tags", F.lit(0), lambda x, t: x + F.coalesce(F.try_element_at(weight, t), F.lit(0)))).alias("structural"))
     effect = F.when(F.size("side_effects") > 0, 8).otherwise(0) + F.when(F.array_contains("tags", "background_task"), 5).otherwise(0) + F.when(F.array_contains("tags", "decorator_registry"), 3).otherwise(0)
     open_ = conf.where("conflict_status = 'open'").select(F.explode("files").alias("target")).distinct()
+    is_open = conf.where("conflict_status = 'open'")
+    fought = is_open.select(F.col("domain").alias("owned")).union(is_open.select(F.regexp_extract("subject", "^(.*?)::", 1))).where("owned <> ''").distinct()
     parts = {
         "runtime": r.groupBy(F.col("defined_in").alias("target")).agg(F.least(F.lit(20), F.sum(effect)).alias("runtime")),
-        "ownership": a.where("kind IN ('canonical_write', 'shared_write')").select(F.col("writer").alias("target")).distinct().join(open_.withColumn("o", F.lit(True)), "target", "left").select("target", F.when(F.col("o"), 20).otherwise(5).alias("ownership")),
+        # The first domain that a file owns: 20 points if that domain has an open conflict, else 5.
+        "ownership": a.where("kind IN ('canonical_write', 'shared_write')").groupBy(F.col("writer").alias("target")).agg(F.min("authority_domain").alias("owned")).join(fought.withColumn("o", F.lit(True)), "owned", "left").select("target", F.when(F.col("o"), 20).otherwise(5).alias("ownership")),
         "conflict": open_.withColumn("conflict", F.lit(10)),
         "duplication": c.where("size(drift_flags) > 0").select(F.explode(F.array_union("writers", "readers")).alias("target")).distinct().withColumn("duplication", F.lit(10)),
     }
@@ -181,7 +192,10 @@ def hotspots(s: DataFrame, r: DataFrame, c: DataFrame, a: DataFrame, conf: DataF
         parts["churn"] = churn.groupBy(F.col("path").alias("target")).agg(structure.churn_points(F.sum(F.col("added") + F.col("deleted"))).alias("churn"))
     for t in parts.values():
         j = j.join(t, "target", "left")
-    tests = s.select(paths.basename(F.col("file")).alias("t")).where("t LIKE 'test\\_%'").select(F.regexp_extract("t", r"^test_(.*?)\.[^.]*$", 1).alias("stem")).distinct()
+    # Some file named test_* contains test_<stem>: the stem begins what follows one of the file's "test_".
+    t = s.select(paths.basename(F.col("file")).alias("t")).where("t LIKE 'test\\_%'").distinct()
+    rest = t.select(F.explode(F.filter(F.transform(F.sequence(F.lit(1), F.length("t")), lambda i: F.when(F.substring("t", i, F.lit(5)) == "test_", F.substring("t", i + 5, F.length("t")))), lambda x: x.isNotNull())).alias("r")).where("r <> ''")
+    tests = rest.select(F.explode(F.transform(F.sequence(F.lit(1), F.length("r")), lambda i: F.substring("r", F.lit(1), i))).alias("stem")).distinct()
     j = j.withColumn("stem", paths.stem(F.col("target"))).join(tests.withColumn("has_test", F.lit(True)), "stem", "left")
     zero = lambda x: F.coalesce(F.col(x), F.lit(0)) if x in parts else F.lit(0)
     gap = F.when(F.col("has_test"), 0).otherwise(10)
@@ -201,6 +215,11 @@ def boundaries(conf: DataFrame, hot: DataFrame, seeds: DataFrame | None = None)
         pick(F.col("hotspot_score") < 30).alias("safe"), pick(F.col("hotspot_score").between(30, 59)).alias("watch_files"), pick(F.col("hotspot_score") >= 60).alias("forbidden_files"), F.array_sort(F.collect_set("target")).alias("members")
     )
     made = by.select(F.concat(F.lit("auto_"), F.substring(F.sha2(F.array_join("members", ","), 256), 1, 8)).alias("boundary_id"), F.concat("safe", "watch_files").alias("allowed_files"), "watch_files", "forbidden_files", "members")
+    # Of clusters that share a file the one of the least id stays.
+    member = made.select("boundary_id", F.explode("members").alias("m"))
+    least = member.groupBy("m").agg(F.min("boundary_id").alias("least"))
+    lost = member.join(least, "m").where("boundary_id <> least").select("boundary_id").distinct()
+    made = made.dropDuplicates(["boundary_id"]).join(lost, "boundary_id", "left_anti")
     if seeds is None:
         return made
     own = seeds.select("boundary_id", "allowed_files", "watch_files", "forbidden_files", F.array_sort(F.array_distinct(F.concat("allowed_files", "forbidden_files"))).alias("members"))
@@ -234,3 +253,20 @@ def findings(s: DataFrame, r: DataFrame, c: DataFrame, a: DataFrame, conf: DataF
     life = report.lifecycle(named, previous)
     text = named.select("finding_id", "category", "subject").unionByName(previous.select("finding_id", "category", "subject")).dropDuplicates(["finding_id"])
     return life.join(text, "finding_id")
+
+
+def conflict_evidence(conflicts_: DataFrame, authority_: DataFrame, most: int = 10) -> DataFrame:
+    """(conflict_id, evidence): the first five files, the targets of the conflict's domain if it is one of writes, up to three
+    members of a cycle; ten at most, in that order."""
+    base = F.transform(F.slice("files", 1, 5), lambda f: F.concat(F.lit("file:"), f))
+    cycle = F.when(F.col("domain") == "structural_cycle", F.transform(F.slice("files", 1, 3), lambda f: F.concat(F.lit("cycle:"), f))).otherwise(F.array().cast("array<string>"))
+    target = authority_.where("target <> ''").groupBy(F.col("authority_domain").alias("d")).agg(F.min("target").alias("target_path"))
+    j = conflicts_.withColumn("d", F.regexp_extract("subject", "^(.*?)::", 1)).join(target, "d", "left")
+    write = F.when(F.col("domain").contains("write") & F.col("target_path").isNotNull(), F.array(F.concat(F.lit("target:"), F.col("target_path")))).otherwise(F.array().cast("array<string>"))
+    return j.select("conflict_id", F.slice(F.array_distinct(F.concat(base, write, cycle)), 1, most).alias("evidence"))
+
+
+def hotspot_evidence(hot: DataFrame, conf: DataFrame, most: int = 10) -> DataFrame:
+    """(target, evidence): the reasons of a file's score, and the open conflicts that name it."""
+    named = conf.where("conflict_status = 'open'").select(F.explode("files").alias("target"), F.concat(F.lit("conflict:"), "conflict_id").alias("c")).groupBy("target").agg(F.slice(F.array_sort(F.collect_set("c")), 1, most).alias("cs"))
+    return hot.join(named, "target", "left").select("target", F.slice(F.concat(F.transform("reasons", lambda x: F.concat(F.lit("reason:"), x)), F.coalesce("cs", F.array().cast("array<string>"))), 1, most).alias("evidence"))

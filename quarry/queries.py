@@ -47,8 +47,8 @@ _SQL_BLOCKS = (
     + r""",
 m0 AS (SELECT path, line_no, trim(regexp_replace(line, '[ \t]+', ' ', 'g'), ' ') AS s FROM lines),
 m AS (SELECT path, line_no, s, row_number() OVER (PARTITION BY path ORDER BY line_no) AS k FROM m0 WHERE s <> ''),
-w0 AS (SELECT path, k, line_no, list(s) OVER (PARTITION BY path ORDER BY k ROWS BETWEEN CURRENT ROW AND {after} FOLLOWING) AS run FROM m),
-w AS (SELECT path, k, line_no, sha256(array_to_string(run, chr(10))) AS hash FROM w0 WHERE len(run) = {after} + 1)
+w0 AS (SELECT path, k, line_no, list(substr(sha256(s), 1, 32)) OVER (PARTITION BY path ORDER BY k ROWS BETWEEN CURRENT ROW AND {after} FOLLOWING) AS run FROM m),
+w AS (SELECT path, k, line_no, md5(array_to_string(run, '')) AS hash FROM w0 WHERE len(run) = {after} + 1)
 """
 )
 
@@ -118,8 +118,8 @@ def size_thresholds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """SELECT url AS path, CASE WHEN regexp_matches(lower(url), 'fixture|testdata|golden') THEN 'fixture' WHEN regexp_matches(lower(url), '/tests/|test_|_test[.]|[.]test[.]|[.]spec[.]') THEN 'test'
-WHEN regexp_matches(lower(url), 'generated|_pb2[.]|[.]gen[.]') THEN 'generated' ELSE 'production' END AS role FROM pages"""
+    """SELECT url AS path, CASE WHEN regexp_matches(lower(url), '/fixtures/|/snapshots/|/mocks/') THEN 'fixture' WHEN regexp_matches(lower(url), '/tests/|/test/|test_|_test[.]py|/conftest[.]py') THEN 'test'
+WHEN regexp_matches(lower(url), '/generated/|/migrations/|/alembic/') THEN 'generated' ELSE 'production' END AS role FROM pages"""
 )
 def file_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Roles of paths."""
@@ -169,16 +169,6 @@ def sibling_proliferation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.groupBy("dir", "suffix").agg(F.count("*").alias("n")).where("n >= 3")
 
 
-@query(
-    """WITH w AS (SELECT DISTINCT l_suppkey AS s, l_partkey AS p FROM lineitem WHERE l_quantity >= 45),
-n AS (SELECT a.s AS left_id, b.s AS right_id, count(*)::BIGINT AS shared FROM w a JOIN w b ON a.p = b.p AND a.s < b.s GROUP BY 1, 2) SELECT * FROM n WHERE shared >= 3"""
-)
-def parallel_flow_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs of suppliers that share three markers (parts) or more."""
-    w = _table(spark, sf_dir, "lineitem").where("l_quantity >= 45").select(F.col("l_suppkey").alias("owner"), F.col("l_partkey").alias("marker")).distinct()
-    return structure.sharing_pairs(w, 3)
-
-
 @query(
     """SELECT l_partkey AS target, count(DISTINCT l_suppkey)::BIGINT AS n_writers, count(DISTINCT s_nationkey)::BIGINT AS n_roots FROM lineitem JOIN supplier ON l_suppkey = s_suppkey
 GROUP BY l_partkey HAVING count(DISTINCT l_suppkey) >= 2 AND count(DISTINCT s_nationkey) >= 2"""
@@ -199,24 +189,12 @@ def glob_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hits.groupBy("domain").agg(F.count("*").alias("n"))
 
 
-@query(
-    """SELECT l_partkey AS target, l_suppkey AS writer, CASE WHEN l_suppkey % 3 = l_partkey % 3 THEN 'canonical_write' ELSE 'illegal_write' END AS kind, count(*)::BIGINT AS n
-FROM lineitem WHERE l_partkey <= 50 GROUP BY 1, 2, 3"""
-)
-def illegal_writers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Writers of seeded targets, canonical or illegal."""
-    w = _table(spark, sf_dir, "lineitem").where("l_partkey <= 50").select(F.col("l_partkey").alias("target"), F.col("l_suppkey").alias("writer"))
-    ok = F.col("writer") % 3 == F.col("target") % 3
-    return w.withColumn("kind", F.when(ok, "canonical_write").otherwise("illegal_write")).groupBy("target", "writer", "kind").agg(F.count("*").alias("n"))
-
-
-def _steps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Edges between the users of consecutive events of a type."""
-    w = W.partitionBy("event_type").orderBy("ts", "event_id")
-    return _table(spark, sf_dir, "events").withColumn("dst", F.lead("user_id").over(w)).where("dst IS NOT NULL").select(F.col("user_id").alias("src"), "dst")
+def _links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges between parts and their suppliers."""
+    return _table(spark, sf_dir, "lineitem").select(F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("src"), F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("dst"))
 
 
-_SQL_STEPS = "e0 AS (SELECT user_id AS src, lead(user_id) OVER (PARTITION BY event_type ORDER BY ts, event_id) AS dst FROM events), e AS (SELECT DISTINCT src, dst FROM e0 WHERE dst IS NOT NULL)"
+_SQL_STEPS = "e AS (SELECT DISTINCT 'p' || l_partkey AS src, 's' || l_suppkey AS dst FROM lineitem)"
 
 
 @query(
@@ -225,22 +203,24 @@ SELECT node, fan_in, fan_out, array_to_string(list_filter([CASE WHEN fan_in > 10
 )
 def fan_in_out_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Degrees and their tags."""
-    d = graph.degrees(_steps(spark, sf_dir))
+    d = graph.degrees(_links(spark, sf_dir))
     tags = F.array_compact(F.array(F.when(F.col("fan_in") > 10, "fan_in"), F.when(F.col("fan_out") > 15, "fan_out")))
     return d.select("node", "fan_in", "fan_out", F.array_join(tags, ",").alias("tags"))
 
 
-_SQL_SPARSE = "e AS (SELECT DISTINCT s_suppkey % 97 AS src, (s_suppkey * 7 + s_nationkey) % 97 AS dst FROM supplier WHERE s_suppkey <= 90)"
+_SQL_SPARSE = "e AS (SELECT DISTINCT s_suppkey AS src, (s_suppkey * 7 + s_nationkey) % (SELECT count(*) FROM supplier) + 1 AS dst FROM supplier)"
 
 
 @query(
     "WITH RECURSIVE " + _SQL_SPARSE + """, r AS (SELECT src AS a, dst AS b FROM e UNION SELECT r.a, e.dst FROM r JOIN e ON r.b = e.src),
-m AS (SELECT x.a AS node, least(min(x.b), x.a) AS component FROM r x JOIN r y ON x.a = y.b AND x.b = y.a GROUP BY x.a) SELECT node, component FROM m"""
+m AS (SELECT x.a AS node, least(min(x.b), x.a) AS component FROM r x JOIN r y ON x.a = y.b AND x.b = y.a GROUP BY x.a) SELECT node::BIGINT AS node, component::BIGINT AS component FROM m"""
 )
 def scc_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Strongly connected components of two nodes or a loop."""
-    e = _table(spark, sf_dir, "supplier").where("s_suppkey <= 90").select((F.col("s_suppkey") % 97).alias("src"), ((F.col("s_suppkey") * 7 + F.col("s_nationkey")) % 97).alias("dst"))
-    found = graph.components(spark, e.select(F.lpad(F.col("src").cast("string"), 3, "0").alias("src"), F.lpad(F.col("dst").cast("string"), 3, "0").alias("dst")))
+    s = _table(spark, sf_dir, "supplier")
+    n = s.agg(F.count("*").alias("n"))
+    e = s.join(F.broadcast(n)).select(F.col("s_suppkey").alias("src"), ((F.col("s_suppkey") * 7 + F.col("s_nationkey")) % F.col("n") + 1).alias("dst"))
+    found = graph.components(spark, e.select(F.lpad(F.col("src").cast("string"), 12, "0").alias("src"), F.lpad(F.col("dst").cast("string"), 12, "0").alias("dst")))
     return found.select(F.col("node").cast("long").alias("node"), F.col("component").cast("long").alias("component"))
 
 
@@ -325,10 +305,11 @@ SELECT a.event_id AS check_id, b.event_id AS act_id FROM s a JOIN s b ON a.user_
 )
 def check_then_act(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A check followed by an act within three steps: an ordered range join."""
-    s = _table(spark, sf_dir, "events").withColumn("k", F.row_number().over(W.partitionBy("user_id").orderBy("ts", "event_id")))
-    a = s.where("event_type = 'view'").select("user_id", F.col("event_id").alias("check_id"), "k")
-    b = s.where("event_type = 'purchase'").select(F.col("user_id").alias("u"), F.col("event_id").alias("act_id"), F.col("k").alias("at"))
-    return a.join(b, (F.col("user_id") == F.col("u")) & (F.col("at") > F.col("k")) & (F.col("at") <= F.col("k") + 3)).select("check_id", "act_id")
+    w = W.partitionBy("user_id").orderBy("ts", "event_id")
+    ahead = F.array(*[F.lead(F.struct("event_id", "event_type"), i).over(w) for i in (1, 2, 3)])
+    s = _table(spark, sf_dir, "events").withColumn("ahead", ahead).where("event_type = 'view'")
+    acts = F.filter("ahead", lambda x: x["event_type"] == "purchase")
+    return s.select(F.col("event_id").alias("check_id"), F.explode(acts).alias("a")).select("check_id", F.col("a.event_id").alias("act_id"))
 
 
 @query("SELECT coalesce(source, '.') AS dir, count(*)::BIGINT AS n, (SELECT count(*) FROM documents)::BIGINT AS total FROM documents WHERE (SELECT count(*) FROM documents) > 800 GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 8")

@@ -57,11 +57,14 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{home}/{name}-{uuid.uuid4().hex}"
 
 
-def materialize(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
-    """Write df as a table in the shared folder and read it back: lineage ends there and no executor owns the rows."""
+def materialize(spark: SparkSession, df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    """Write df as a table in the shared folder and read it back: lineage ends there and no executor owns the rows. `by` is a
+    string column of few values, none null, each of which gets a folder of its own."""
     path = scratch_path(spark, name)
-    df.write.parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
+    if by:
+        out = out.select(df.columns)
     out._quarry_path = path
     return out
 

@@ -2,12 +2,16 @@
 
 facts(path, fact, line, end_line, name, scope, attrs, items): a row for each import, symbol, function, call, handler,
 write, contract, env read and so on. Every check and map reads these rows; none parses code itself. A file that
-doesn't parse gives one row `syntax_error`.
+doesn't parse gives one row `syntax_error`, one whose tree is too deep for it `too_deep`. Rules over one function or file
+(local_rules) give rows `hit`. Attributes `preview` and `first` show how a node begins; no check decides by them.
 """
 
 from __future__ import annotations
 
 import ast
+import hashlib
+import re
+import sys
 from collections.abc import Iterator
 
 import pandas as pd
@@ -16,11 +20,17 @@ from pyspark.sql import functions as F
 
 from quarry.functions import paths
 from quarry.session import ship
+from quarry.sources import local_rules
 
 SCHEMA = "path string, fact string, line int, end_line int, name string, scope string, attrs map<string,string>, items array<string>"
 _LOOPS = (ast.For, ast.AsyncFor, ast.While)
 _NESTS = (ast.For, ast.AsyncFor, ast.While, ast.If, ast.With, ast.AsyncWith, ast.Try, ast.Match)
 _FUNCS = (ast.FunctionDef, ast.AsyncFunctionDef)
+# How SQL that is built at run time begins, and names of data held out.
+_SQL = re.compile(r"(?is)\bselect\b.+\bfrom\b|\binsert\s+into\b|\bupdate\b.+\bset\b|\bdelete\s+from\b|\b(?:drop|create|alter)\s+table\b")
+_HELD_OUT = re.compile(r"(?i)test|val|valid|holdout|oot")
+#: Depth of Python calls a tree may take.
+DEEP = 50_000
 
 
 def dotted(node: ast.AST | None) -> str:
@@ -44,6 +54,8 @@ class _Visitor(ast.NodeVisitor):
         self.scope: list[str] = []
         self.functions: list[ast.AST] = []
         self.classes = self.loops = self.depth = self.deepest = 0
+        self.deepest_line = 1
+        self.quiet: set[str] = set()
         self.paths: dict[str, tuple[str, str]] = {}
 
     def add(self, fact: str, node: ast.AST | None, name: str, items=(), **attrs) -> None:
@@ -51,9 +63,13 @@ class _Visitor(ast.NodeVisitor):
         self.rows.append((self.path, fact, at, getattr(node, "end_lineno", at), name, ".".join(self.scope), {k: str(v) for k, v in attrs.items()}, list(items)))
 
     def visit(self, node: ast.AST):
+        for block in ("body", "orelse", "finalbody"):
+            if isinstance(b := getattr(node, block, None), list):
+                self._unreachable(b)
         nests = isinstance(node, _NESTS)
         self.depth += nests
-        self.deepest = max(self.deepest, self.depth)
+        if self.depth > self.deepest:
+            self.deepest, self.deepest_line = self.depth, node.lineno
         super().visit(node)
         self.depth -= nests
 
@@ -67,6 +83,7 @@ class _Visitor(ast.NodeVisitor):
         for a in node.names:
             if a.name != "*":
                 self.add("import", node, f"{base}.{a.name}" if node.module else base + a.name, kind="member", bound=a.asname or a.name, asname=a.asname or "", in_function=bool(self.functions))
+                self.add("bound", node, a.asname or a.name)
             else:
                 self.add("star", node, base)
 
@@ -81,6 +98,7 @@ class _Visitor(ast.NodeVisitor):
             "function", node, node.name, params, is_async=isinstance(node, ast.AsyncFunctionDef), is_method=bool(self.classes), nested=bool(self.functions), hinted=hinted, empty=all(isinstance(s, ast.Pass) for s in body), n_asserts=len(asserts), literal_asserts=literal,
             decorators=",".join(dotted(d) for d in node.decorator_list), required=len([*a.posonlyargs, *a.args]) - len(a.defaults),
         )
+        self.add("bound", node, node.name)
         self.add("symbol", node, node.name, kind="function", visibility="private" if node.name.startswith("_") else "public")
         for d in [*a.defaults, *a.kw_defaults]:
             if isinstance(d, (ast.List, ast.Dict, ast.Set)) or isinstance(d, ast.Call) and dotted(d.func) in ("list", "dict", "set"):
@@ -88,13 +106,15 @@ class _Visitor(ast.NodeVisitor):
         for d in node.decorator_list:
             self.add("decorator", d, dotted(d), attrs_text=_text(d), of=node.name, args=len(d.args) + len(d.keywords) if isinstance(d, ast.Call) else 0)
             self.visit(d)
-        self._unreachable(node.body)
+        if node.end_lineno - node.lineno >= 3 and not node.name.startswith(("test", "__")):
+            self.add("normal", node, node.name, hash=hashlib.sha256(local_rules.normal_form(node).encode()).hexdigest())
         self.functions.append(node)
         self.scope.append(node.name)
-        loops, self.loops = self.loops, 0
+        # Names of one function are not seen in the next.
+        loops, self.loops, known, self.paths = self.loops, 0, self.paths, dict(self.paths)
         for s in node.body:
             self.visit(s)
-        self.loops = loops
+        self.loops, self.paths = loops, known
         self.scope.pop()
         self.functions.pop()
 
@@ -111,14 +131,17 @@ class _Visitor(ast.NodeVisitor):
         fields = [(s.target.id, _text(s.annotation), s.value is not None) for s in node.body if isinstance(s, ast.AnnAssign) and isinstance(s.target, ast.Name)]
         deco = [dotted(d).rpartition(".")[2] for d in node.decorator_list]
         kind = "dataclass" if "dataclass" in deco else next((b for b in bases if b in ("BaseModel", "TypedDict", "NamedTuple")), "")
+        self.add("bound", node, node.name)
         self.add("symbol", node, node.name, kind="class", visibility="private" if node.name.startswith("_") else "public")
         if kind:
             self.add("contract", node, node.name, [f"{n}:{t}" for n, t, _ in fields], kind=kind, required=",".join(n for n, _, d in fields if not d))
         self.scope.append(node.name)
         self.classes += 1
         functions, self.functions = self.functions, []
+        # Annotated fields bind nothing outside the class.
+        quiet, self.quiet = self.quiet, {n for n, _, _ in fields}
         self.generic_visit(node)
-        self.functions = functions
+        self.functions, self.quiet = functions, quiet
         self.classes -= 1
         self.scope.pop()
 
@@ -159,7 +182,7 @@ class _Visitor(ast.NodeVisitor):
 
     def _assigned(self, name: str, value: ast.AST, node: ast.AST) -> None:
         const = value.value if isinstance(value, ast.Constant) else None
-        self.add("assign", node, name, value=_text(value)[:200], constant=isinstance(value, ast.Constant), at_module=not self.scope, mutable=isinstance(value, (ast.List, ast.Dict, ast.Set)))
+        self.add("assign", node, name, value=_text(value) if isinstance(value, (ast.Constant, ast.Name)) else "", preview=_text(value)[:80], constant=isinstance(value, ast.Constant), at_module=not self.scope, mutable=isinstance(value, (ast.List, ast.Dict, ast.Set)))
         if isinstance(const, str):
             self.paths[name] = const, "string_literal"
         elif isinstance(value, ast.Call) and dotted(value.func).rpartition(".")[2] in ("Path", "PurePath", "join"):
@@ -190,6 +213,16 @@ class _Visitor(ast.NodeVisitor):
             return ("/".join(inner), "path_constructor") if inner and all(inner) else ("", "unknown")
         return "", "unknown"
 
+    def visit_Name(self, node: ast.Name) -> None:
+        if isinstance(node.ctx, ast.Store) and node.id not in self.quiet:
+            self.add("bound", node, node.id)
+        self.generic_visit(node)
+
+    def visit_Compare(self, node: ast.Compare) -> None:
+        if isinstance(node.left, ast.Constant) and isinstance(node.left.value, str) and any(isinstance(op, (ast.In, ast.NotIn)) and dotted(c) in ("os.environ", "environ") for op, c in zip(node.ops, node.comparators, strict=True)):
+            self.add("env_asked", node, node.left.value)
+        self.generic_visit(node)
+
     def visit_If(self, node: ast.If) -> None:
         if _text(node.test) == "__name__ == '__main__'" and not self.scope:
             self.add("main", node, "__main__")
@@ -208,8 +241,9 @@ class _Visitor(ast.NodeVisitor):
         kwargs = [k.arg for k in node.keywords if k.arg]
         built = isinstance(first, ast.JoinedStr) or isinstance(first, ast.BinOp) and isinstance(first.op, (ast.Add, ast.Mod)) or isinstance(first, ast.Call) and dotted(first.func).endswith("format")
         true = ",".join(k.arg for k in node.keywords if k.arg and isinstance(k.value, ast.Constant) and k.value.value is True)
+        text = _text(first)
         self.add(
-            "call", node, callee, kwargs, first=_text(first)[:300], n_args=len(node.args), built=built, true=true, loops=self.loops, awaited=getattr(node, "_awaited", False), in_function=bool(self.functions), at_module=not self.scope,
+            "call", node, callee, kwargs, first=text[:80], sql=built and len(text) >= 20 and bool(_SQL.search(text)), held_out=bool(_HELD_OUT.search(text)), n_args=len(node.args), built=built, true=true, loops=self.loops, awaited=getattr(node, "_awaited", False), in_function=bool(self.functions), at_module=not self.scope,
             in_async=bool(self.functions) and isinstance(self.functions[-1], ast.AsyncFunctionDef), negative=isinstance(first, ast.UnaryOp) and isinstance(first.op, ast.USub) or any(isinstance(k.value, ast.UnaryOp) and k.arg == "periods" for k in node.keywords),
         )
         if callee in ("os.getenv", "getenv", "os.environ.get", "environ.get") and isinstance(first, ast.Constant):
@@ -217,6 +251,11 @@ class _Visitor(ast.NodeVisitor):
         if callee in ("import_module", "importlib.import_module", "__import__") and isinstance(first, ast.Constant):
             self.add("import", node, str(first.value), kind="dynamic", bound="", asname="", in_function=bool(self.functions))
         self._write(node, callee, first)
+        last = callee.rpartition(".")[2]
+        if last in ("read_text", "read_bytes") and isinstance(node.func, ast.Attribute):
+            self.add("read", node, self._path(node.func.value)[0])
+        elif callee in ("open", "io.open") and (len(node.args) < 2 or isinstance(node.args[1], ast.Constant) and not set(str(node.args[1].value)) & set("wax+")):
+            self.add("read", node, self._path(first)[0])
         self.generic_visit(node)
 
     def _write(self, node: ast.Call, callee: str, first: ast.AST | None) -> None:
@@ -236,30 +275,59 @@ class _Visitor(ast.NodeVisitor):
             target, kind = node.args[1], callee
         if kind:
             path, how = self._path(target)
-            self.add("write", node, path, kind=kind, provenance=how, hint=_text(target)[:120])
+            self.add("write", node, path, kind=kind, provenance=how, hint=_text(target)[:80])
 
 
 def extract(path: str, text: str) -> list[tuple]:
+    def failed(kind: str, e: Exception) -> list[tuple]:
+        line = getattr(e, "lineno", None) or 1
+        return [(path, kind, line, line, str(e)[:200], "", {}, [])]
+
+    sys.setrecursionlimit(max(sys.getrecursionlimit(), DEEP))
+    try:
+        tree = ast.parse(text.removeprefix("\ufeff"))
+    except (RecursionError, MemoryError) as e:
+        return failed("too_deep", e)
+    except (SyntaxError, ValueError) as e:
+        return failed("syntax_error", e)
     try:
-        tree = ast.parse(text.lstrip("﻿"))
-    except (SyntaxError, ValueError, RecursionError) as e:
-        return [(path, "syntax_error", getattr(e, "lineno", None) or 1, getattr(e, "lineno", None) or 1, str(e)[:200], "", {}, [])]
+        return _rows(path, tree)
+    except (RecursionError, MemoryError) as e:  # this file only
+        return failed("too_deep", e)
+
+
+def _rows(path: str, tree: ast.Module) -> list[tuple]:
     v = _Visitor(path)
     v.visit(tree)
-    v.add("depth", None, str(v.deepest))
+    v.add("depth", None, str(v.deepest), line=v.deepest_line)
     for s in tree.body:
         if isinstance(s, ast.Expr) and isinstance(s.value, ast.Call):
             v.add("side_effect", s, dotted(s.value.func))
+    test = "test_" in path or "_test.py" in path
+    for rule in [*local_rules.RULES, *(local_rules.TEST_RULES if test else [])]:
+        for check, line, detail, severity, impact in rule(tree, path):
+            v.rows.append((path, "hit", line, line, check, "", {"detail": detail, "severity": severity, "impact": impact}, []))
+    if test:
+        for f, own, others in local_rules.simulated(tree):
+            v.add("simulated", f, f.name, others, own=",".join(own))
+    for first, last in local_rules.string_lines(tree):
+        v.rows.append((path, "string", first, last, "", "", {}, []))
     return v.rows
 
 
 def facts(files: DataFrame) -> DataFrame:
     """The facts of all Python files."""
+    names = [c.split()[0] for c in SCHEMA.split(", ")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
+            rows: list[tuple] = []
             for path, text in zip(b["path"], b["text"], strict=True):
-                yield pd.DataFrame(extract(path, text), columns=[c.split()[0] for c in SCHEMA.split(", ")])
+                rows += extract(path, text)
+                if len(rows) > 20_000:
+                    yield pd.DataFrame(rows, columns=names)
+                    rows = []
+            yield pd.DataFrame(rows, columns=names)
 
     ship(files.sparkSession)
     return files.where(F.col("text").isNotNull() & F.coalesce(paths.language(F.col("path")) == "python", F.lit(False))).select("path", "text").mapInPandas(run, SCHEMA)

@@ -27,17 +27,18 @@ def _empty_files(spark: SparkSession, folder: str) -> list[str]:
     return out
 
 
-def read_tree(spark: SparkSession, folder: str, limit: int = 5 << 20) -> DataFrame:
-    """Source files under a folder, with raw content; larger ones than `limit` keep a null text."""
+def read_tree(spark: SparkSession, folder: str, limit: int = 5 << 20, in_maps: bool = False, roots: list[str] | None = None) -> DataFrame:
+    """Source files under a folder, with raw content: those of an audit, or of the maps. Larger ones than `limit` keep a null
+    text and are marked `oversized`."""
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
     empty = spark.createDataFrame([(p,) for p in _empty_files(spark, folder)], "path string")
     plain = lambda c: F.regexp_replace(c, "^file:/*", "/")
     found = raw.select(plain("path").alias("p"), "length", "content").unionByName(
         empty.select(plain("path").alias("p"), F.lit(0).cast("long").alias("length"), F.lit(b"").alias("content"))
     )
-    rows = found.withColumn("root", plain(F.lit(folder.rstrip("/")))).withColumn("path", F.expr("substring(p, length(root) + 2)")).where(paths.wanted(F.col("path")))
+    rows = found.withColumn("root", plain(F.lit(folder.rstrip("/")))).withColumn("path", F.expr("substring(p, length(root) + 2)")).where(paths.in_maps(F.col("path"), roots) if in_maps else paths.wanted(F.col("path"), roots=roots))
     text = F.regexp_replace(F.decode("content", "UTF-8"), "^﻿", "")
-    return rows.select("path", F.lit(True).alias("exists"), F.col("length").alias("size"), F.when(F.col("length") <= limit, text).alias("text"), "content").withColumn(
+    return rows.select("path", F.lit(True).alias("exists"), F.col("length").alias("size"), (F.col("length") > limit).alias("oversized"), F.when(F.col("length") <= limit, text).alias("text"), "content").withColumn(
         "line_count", F.coalesce(F.size(split_lines(F.col("text"))), F.lit(0))
     )
 
@@ -65,3 +66,35 @@ def changed(files: DataFrame, cache: DataFrame, version: str) -> DataFrame:
     """Files whose content isn't in the cache (content_hash, version)."""
     keyed = files.withColumn("content_hash", F.sha2(F.coalesce("text", F.lit("")), 256))
     return keyed.join(cache.where(F.col("version") == version).select("content_hash"), "content_hash", "left_anti")
+
+
+def snapshots(files: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The files that are asked for (path); those that aren't there have exists = false and an empty text."""
+    j = wanted.select("path").distinct().join(files.select("path", "text", F.lit(True).alias("here")), "path", "left")
+    return j.select("path", F.coalesce("here", F.lit(False)).alias("exists"), F.length(F.encode(F.coalesce("text", F.lit("")), "UTF-8")).cast("long").alias("size"), F.coalesce(F.size(split_lines(F.col("text"))), F.lit(0)).alias("line_count"), F.coalesce("text", F.lit("")).alias("text"))
+
+
+def oversized(files: DataFrame) -> DataFrame:
+    """meta.oversized_file: files whose text was not read."""
+    return files.where("oversized").select(F.lit("meta.oversized_file").alias("check_id"), "path", F.lit(1).alias("line_no"), F.col("size").cast("string").alias("detail"), F.lit("MEDIUM").alias("severity"), F.lit("REVISE").alias("impact"))
+
+
+def package_roots(files: DataFrame) -> DataFrame:
+    """(root): top-level folders that are Python packages, also below src, lib and python."""
+    return files.where(paths.basename(F.col("path")) == "__init__.py").select(paths.package_root(F.col("path")).alias("root")).where("root IS NOT NULL").distinct()
+
+
+# What names a platform in a file, and marks that a file is generated.
+PLATFORMS = {"windows": r"(?m)^\s*(?:import|from)\s+(?:winreg|msvcrt|win32\w*)\b|ctypes\.windll|sys\.platform\s*==\s*[\"']win32", "posix": r"(?m)^#!.*/(?:ba)?sh|^\s*(?:import|from)\s+(?:fcntl|pwd|grp|termios|resource)\b|sys\.platform\s*(?:==|\.startswith\()\s*[\"'](?:linux|darwin)"}
+GENERATED = "(?i)@generated|auto-?generated|do not edit|generated by|code generated"
+
+
+def deployment(files: DataFrame, least: int = 2) -> DataFrame:
+    """(platform, n_files): platforms that at least two files name."""
+    hits = F.array_compact(F.array(*[F.when(F.col("text").rlike(p), F.lit(n)) for n, p in PLATFORMS.items()]))
+    return files.select(F.explode(hits).alias("platform")).groupBy("platform").agg(F.count("*").alias("n_files")).where(F.col("n_files") >= least)
+
+
+def generated(files: DataFrame) -> DataFrame:
+    """(path) of files with a generator's mark in their first ten lines."""
+    return files.where(F.substring_index("text", "\n", 10).rlike(GENERATED)).select("path")

@@ -4,7 +4,10 @@ import os
 
 import pytest
 
-from quarry.queries import ORACLES, QUERIES
+from quarry import code_queries, map_queries, queries
+
+QUERIES = queries.QUERIES | code_queries.queries() | map_queries.QUERIES
+ORACLES = queries.ORACLES | code_queries.oracles() | map_queries.ORACLES
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
