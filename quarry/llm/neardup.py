@@ -37,7 +37,7 @@ from quarry.session import materialize, ship
 
 ROWS, MISS = 5, 1e-6
 #: Shingles in a block of a cluster, about.
-BLOCK = 50_000
+BLOCK = 200_000
 #: Shingles whose permutations are held at a time.
 CHUNK = 1 << 17
 _U = np.uint64
