@@ -16,7 +16,7 @@ from quarry.functions import paths
 from quarry.operators import corpus_checks, graph, report, run_checks
 from quarry.plans import audit, maps
 from quarry.session import materialize
-from quarry.sources import records
+from quarry.sources import records, tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -131,6 +131,20 @@ def map_cycle_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.cycle_groups(spark, _maps(spark, sf_dir)["structural"])
 
 
+@query("""WITH g AS (SELECT doc_id // 3 AS g, 'loop.y' || doc_id AS m FROM documents)
+SELECT 'loop/' || substr(min(m), 6) || '.py' AS path, 2::INT AS line_no, '3 modules: ' || string_agg(m, ', ' ORDER BY m) AS detail FROM g GROUP BY g HAVING count(*) = 3""")
+def map_import_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Textual import cycles of a tree in which each document is a module that imports the next one of its three; what stands
+    in from the margin doesn't count."""
+    d = F.col("doc_id")
+    next_ = F.when(d % 3 == 2, d - 2).otherwise(d + 1).cast("string")
+    base = F.when(F.floor(d / 3) % 2 == 0, F.lit(".y")).otherwise(F.lit("loop.y"))
+    text = F.concat(F.lit("import os\nfrom "), base, next_, F.lit(" import go\ndef f():\n    from loop.y1 import go\n"))
+    docs = _table(spark, sf_dir, "documents")
+    lines = tables.lines(docs.select(F.concat(F.lit("loop/y"), d.cast("string"), F.lit(".py")).alias("path"), text.alias("text")))
+    return corpus_checks.import_cycles(spark, lines).select("path", F.col("line_no").cast("int").alias("line_no"), "detail")
+
+
 @query(code.SQL_TREE + _RING + f""", big AS (SELECT path FROM files WHERE k = {_k("tools/long{id}.py")}), bad AS (SELECT path FROM files WHERE k IN ({_k("core/bad{id}.py")}, {_k("web/a{id}.js")}, {_k("web/s{id}.js")})),
 hub AS (SELECT 'core/known.py' AS path WHERE (SELECT count(*) FROM files WHERE k IN ({_k("core/user{id}.py")}, {_k("tests/test_e{id}.py")}, {_k("tests/test_f{id}.py")})) > 10),
 pkg AS (SELECT 'core/__init__.py' AS path WHERE (SELECT count(*) FROM files WHERE k IN ({_k("tests/test_e{id}.py")}, {_k("tests/test_f{id}.py")})) > 10)

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quarry.functions import paths
+from quarry.operators import graph
+from quarry.session import materialize
 
 # Fixed values of the checks, by language where it matters.
 GENERIC = {
@@ -33,6 +35,8 @@ for _table in (GENERIC, SHARED, MARKERS):
 SUFFIXES = ["_checks", "_check", "_utils", "_helpers", "_handlers", "_runners", "_providers", "_adapters", "_validators"]
 PROVIDERS = r"(_provider|_adapter|_service|_client|_backend|_engine)\.(py|ts|js)$"
 COPIES = r"_v\d+|_new|_copy|_backup|_old|_fixed|_updated|_refactored|_alt|\.bak|\.orig|\.copy"
+#: Modules of an import cycle that a finding names; it counts all.
+NAMED = 20
 FIX_WORDS = r"(?i)\b(fix|bug|bugfix|hotfix|regression|repair)"
 
 
@@ -208,6 +212,25 @@ def own_literals(lines: DataFrame, patterns: list[str], env_prefix: str = "") ->
     return out
 
 
+def import_cycles(spark: SparkSession, lines: DataFrame) -> DataFrame:
+    """import_cycle_scan: Python modules that lead back to themselves by lines `from .x` or `from a.b import` at the margin,
+    the dot being the module's own folder. A finding for each set of modules that reach one another, at the first such import
+    of its least module; a module that imports itself is a set of one."""
+    module = F.regexp_replace(F.translate("path", "/\\", ".."), r"\.py$", "")
+    near, far = F.regexp_extract("line", r"^from\s+\.(\w+)", 1), F.regexp_extract("line", r"^from\s+([\w.]+)\s+import", 1)
+    beside = F.concat(F.regexp_replace(module, r"(^|\.)[^.]*$", ""), F.lit("."), near)
+    rows = lines.where((paths.language(F.col("path")) == "python") & F.col("line").startswith("from"))
+    said = rows.select("path", "line_no", module.alias("src"), F.when(near != "", beside).otherwise(far).alias("dst")).where("dst <> ''")
+    edges = materialize(spark, said.join(said.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi"), "module-edges")
+    member = materialize(spark, graph.components(spark, edges.select("src", "dst")), "module-cycles")
+    first = member.withColumn("nth", F.row_number().over(W.partitionBy("component").orderBy("node"))).where(F.col("nth") <= NAMED)
+    names = first.groupBy("component").agg(F.array_join(F.array_sort(F.collect_list("node")), ", ").alias("names")).join(member.groupBy("component").agg(F.count("*").alias("n")), "component")
+    inside = edges.join(member.select(F.col("node").alias("dst"), "component"), "dst").where("src = component")
+    at = inside.groupBy("component").agg(F.min(F.struct("path", "line_no")).alias("at"))
+    detail = F.concat(F.col("n").cast("string"), F.lit(" modules: "), "names")
+    return names.join(at, "component").select(F.lit("import_cycle_scan").alias("check_id"), "at.path", "at.line_no", detail.alias("detail"), F.lit("HIGH").alias("severity"), F.lit("REVISE").alias("impact"))
+
+
 def unused_shims(facts: DataFrame) -> DataFrame:
     """unused_shim_module: Python modules of imports only that no other file outside the tests imports."""
     facts = facts.where(F.col("path").endswith(".py"))

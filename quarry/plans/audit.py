@@ -110,6 +110,7 @@ GATES: dict[str, tuple[Callable[[Context], DataFrame], str]] = {
     "encoding_scan": (lambda c: text_checks.encodings(c.raw), "raw"), "proliferation": (lambda c: corpus_checks.proliferation(c.files), ""), "generic_fork": (lambda c: corpus_checks.forked(c.files), ""),
     "file_proliferation": (lambda c: corpus_checks.copies(c.files, c.touched), ""), "unused_shim": (lambda c: corpus_checks.unused_shims(c.facts), ""), "http_methods": (lambda c: corpus_checks.http_methods(c.lines), ""),
     "abstraction_bypass": (lambda c: corpus_checks.bypassed(c.files, c.lines), ""), "parallel_flow": (lambda c: corpus_checks.parallel_flows(c.files, c.lines), ""), "empty_output": (lambda c: corpus_checks.empty_output(c.files), ""),
+    "import_cycles": (lambda c: corpus_checks.import_cycles(c.spark, c.lines), ""),
     "shape_adapter": (lambda c: corpus_checks.shape_adapters(c.lines), ""), "js_coverage": (lambda c: corpus_checks.js_constants(c.lines, c.profile.get("checked_js", [])), ""), "response_shape": (lambda c: corpus_checks.response_shapes(c.lines), ""),
     "fallback": (lambda c: corpus_checks.fallbacks(c.files, c.profile.get("fallback_patterns", []), c.profile.get("critical_roots", [])), ""),
     "config_ssot": (lambda c: corpus_checks.config_owners(c.files, c.facts, c.profile.get("owners", {}), c.profile.get("env_keys", [])), ""),

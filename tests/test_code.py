@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from quarry.operators import fact_checks, graph, report
+from quarry.operators import corpus_checks, fact_checks, graph, report
 from quarry.plans import audit, maps
 from quarry.sources import python_facts, tables
 
@@ -119,6 +119,17 @@ def test_components_of_long_cycles(spark):
     assert got == {f"{i:03}": "000" for i in range(300)}
 
 
+def test_import_cycles(spark):
+    tree = {
+        "app/a.py": "import os\nfrom app.b import x\nfrom lib.z import y\n", "app/b.py": "from .c import x\n", "app/c.py": "\nfrom .a import x\nfrom .d import y\n", "app/d.py": "from .d import x\n",
+        "lib/z.py": "def f():\n    from app.a import x\n", "lib/w.py": "from app.a import x\n", "top.py": "from .top import x\n", "lib/w.js": "from app.a import x\n", "empty.py": None,
+    }
+    lines = tables.lines(spark.createDataFrame(list(tree.items()), "path string, text string"))
+    got = {(r.path, r.line_no, r.detail, r.severity) for r in corpus_checks.import_cycles(spark, lines).collect()}
+    assert got == {("app/a.py", 2, "3 modules: app.a, app.b, app.c", "HIGH"), ("app/d.py", 1, "1 modules: app.d", "HIGH")}
+    assert corpus_checks.import_cycles(spark, lines.where("false")).count() == 0
+
+
 def test_report(spark):
     f = spark.createDataFrame([("a", "p", i, "d", s) for i, s in enumerate(["INFO", "LOW", "HIGH", "HIGH"])], "check_id string, path string, line_no int, detail string, severity string")
     assert report.floor(f, "MEDIUM").count() == 2 and report.capped(f, 2).count() == 2 and [r.line_no for r in report.top(f, 2).collect()] == [2, 3]
