@@ -189,7 +189,9 @@ def write(spark: SparkSession, docs: DataFrame, path: str, folder: str, end: int
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     order = [F.col("doc_id").asc_nulls_last(), F.col("text").asc()]
     dealt = rows.repartitionByRange(n, order[0]).sortWithinPartitions(*order)
-    return materialize(spark, dealt.mapInArrow(run, "part int, file string, n_docs long, n_tokens long, n_bytes long"), "token-list")
+    made = dealt.mapInArrow(run, "part int, file string, n_docs long, n_tokens long, n_bytes long")
+    # A row for each file, so the list is one table file, not as many as there are files.
+    return materialize(spark, made.repartition(1), "token-list")
 
 
 def read(spark: SparkSession, files: DataFrame, with_ids: bool = False) -> DataFrame:
