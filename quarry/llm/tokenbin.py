@@ -177,7 +177,7 @@ def write(spark: SparkSession, docs: DataFrame, path: str, folder: str, end: int
         with written(name) as out:
             w = Writer(out)
             for b in batches:
-                for piece in slices([b], "text", 1 << 20):
+                for piece in slices([b], "text", 2 << 20):
                     for doc, ids in zip(piece.column("doc_id").to_pylist(), encode([t or "" for t in piece.column("text").to_pylist()]), strict=True):
                         w.add(doc, np.frombuffer(ids + last, "<u4"))
             w.close()

@@ -13,7 +13,7 @@ import public_tokenizers as P
 import pytest
 from pyspark.sql import functions as F
 
-from quarry.llm import bpe, common, components, fingerprint, htmltext, langid, neardup, packing, pii, quality, tokenbin, warc
+from quarry.llm import bpe, common, components, fingerprint, htmltext, langid, neardup, packing, pii, quality, tokenbin, tokens, warc
 from quarry.llm.tokens import encoder
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, n_words string, label string, row string"
@@ -249,6 +249,34 @@ def test_token_pieces_are_the_librarys(name):
         assert encoder(P.path(name), plain)(texts) == [np.array(e.ids, "<u4").tobytes() for e in t.encode_batch(texts, add_special_tokens=False)]
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_latin_texts_are_split_as_arrays(name, monkeypatch):
+    from tokenizers import Tokenizer
+
+    r = random.Random(3)
+    texts = ["", " ", "  ", "'", "'s", "'street 're're 'v 've'", "a'", "''s \"'s it's'll", "x" * 500, "a \n b\n\n  c \t", "12 345a", "\x00'\x00s", "A\xa0B \x85 c", "end'", "s", "ll", "Àß µÿ"]
+    texts += ["".join(r.choice("aBsrevl'' \n\t1é.\xa0\x85\x1c\x00") for _ in range(r.randrange(40))) for _ in range(3000)]
+    texts += ["".join(map(chr, r.choices(range(256), k=60))) for _ in range(500)]
+    want = [np.array(e.ids, "<u4").tobytes() for e in Tokenizer.from_file(P.path(name)).encode_batch(texts, add_special_tokens=False)]
+    by_pattern = []
+    monkeypatch.setattr(tokens, "_is_narrow", lambda text: by_pattern.append(text) or True)
+    for block in (tokens.BLOCK, 300):
+        monkeypatch.setattr(tokens, "BLOCK", block)
+        by_pattern.clear()
+        assert tokens._encoder(P.path(name), False)(texts) == want
+        assert by_pattern == [t for t in texts if len(t) > block]
+
+
+def test_common_pieces_stay_known():
+    made = []
+    known = tokens.Known(lambda p: made.append(p) or p.encode(), 10)
+    for i in range(500):
+        assert known["common"] == b"common" and known[f"rare{i}"] == f"rare{i}".encode()
+        assert len(known) <= 10 and len(known.before) <= 10
+    assert made.count("common") == 1
+    assert known["x" * 100] and "x" * 100 not in known
+
+
 def test_packing(spark, docs, none):
     path = P.path("byte_bpe_50k.json")
     ids = {}
